@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .neardup import near_duplicates
+from .repeats import find_repeats, kept_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, removed, spans, digests = [], [], [], []
+            for text, repeats in zip(batch.column("text").to_pylist(), batch.column("repeats").to_pylist(), strict=True):
+                kept = kept_bytes(text, repeats)
+                cut = sum(x["e"] - x["s"] for x in repeats)
+                size.append(len(kept) + cut)
+                removed.append(cut)
+                spans.append(len(repeats))
+                digests.append(hashlib.sha256(kept).hexdigest())
+            numbers = [pa.array(x, pa.int64()) for x in (size, removed, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=4, percent=80)
 
@@ -20,6 +42,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op7_suffix_array_dedup,
         op10_minhash_near_dedup,
     )
 }
