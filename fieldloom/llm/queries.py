@@ -9,13 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .neardup import near_duplicates
+from .packing import pack_documents
+from .quality import fit_outliers, judge, with_stats
 from .repeats import find_repeats, kept_bytes
+from .shared import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stats = materialize(with_stats(docs, ["doc_id", "lang", "source"]), "stats")
+    return judge(stats, fit_outliers(stats)).drop("lang", "source")
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
 
@@ -42,6 +55,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_length_bucket_packing,
+        op2_quality_outliers,
         op7_suffix_array_dedup,
         op10_minhash_near_dedup,
     )
