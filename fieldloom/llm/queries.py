@@ -7,12 +7,19 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import chat_windows, digests, read_windows
+from .licenses import license_scan
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .pieces import decode_pieces, encode_pieces
 from .quality import fit_outliers, judge, with_stats
+from .rans import read_tokens, token_digests, write_tokens
 from .repeats import find_repeats, kept_bytes
-from .shared import materialize
+from .sharding import interleave
+from .shared import materialize, new_path
+from .vptree import nearest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +36,39 @@ def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(stats, fit_outliers(stats)).drop("lang", "source")
 
 
+def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), out, end_id=1)
+    return token_digests(read_tokens(spark, out))
+
+
+def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode_pieces(encode_pieces(docs))
+    pieces = F.coalesce("pieces", F.unhex(F.lit("")))
+    return decoded.select(
+        "doc_id",
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+        (F.length(pieces) / 4).cast("long").alias("n_pieces"),
+        F.crc32(pieces).alias("ids_crc32"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
+    )
+
+
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    more = spark.sql(
+        "SELECT CAST(-7 AS BIGINT) conv_id, CAST(t AS BIGINT) turn, r role, '</s>[INST] ok [/INST]' text FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)"
+    )
+    turns = table(spark, sf_dir, "conversations").select(*columns).unionByName(more)
+    return digests(read_windows(materialize(chat_windows(turns), "chat")))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
 
@@ -48,6 +88,15 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = interleave(table(spark, sf_dir, "documents"), shards=24)
+    return placed.drop("source").withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op9_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=4, percent=80)
 
@@ -57,7 +106,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_length_bucket_packing,
         op2_quality_outliers,
+        op3_rans_token_files,
+        op4_sentencepiece_round_trip,
+        op5_chat_windows,
+        op6_license_scan,
         op7_suffix_array_dedup,
+        op8_stratified_shards,
+        op9_vantage_point_trees,
         op10_minhash_near_dedup,
     )
 }
