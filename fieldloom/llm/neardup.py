@@ -13,7 +13,7 @@ from .components import connected_components
 from .shared import materialize, partitions
 from .textkit import MinHash, Union, WordHashes, band_keys, fingerprint, runs, shingle_set
 
-BUCKET = 1024  #: signatures compared in one block of a bucket
+BUCKET = 4096  #: signatures compared in one block of a bucket
 BLOCK_SHINGLES = 2_000_000  #: shingles held at once in one block of a candidate group
 FEATURES = "doc_id long, th long, n_shingles long, fp binary, sig binary"
 
@@ -217,7 +217,7 @@ def _verify(ngram: int, percent: int):
     return run
 
 
-def _in_blocks(df: DataFrame, key: str, id_col: str, blocks: str) -> DataFrame:
+def _in_blocks(df: DataFrame, id_col: str, blocks: str) -> DataFrame:
     """Rows of a key of ``blocks`` > 1 blocks go to every pair (i <= j) of blocks that holds theirs."""
     df = df.withColumn("block", F.pmod(F.xxhash64(id_col), F.col(blocks)).cast("int"))
     pairs = F.transform(
@@ -267,11 +267,13 @@ def near_duplicates(
     hot = materialize(hot.select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("blocks")), "hot")
     rows_in = nodes.select("fp", "sig").mapInArrow(_bands(rows, True), "key long, fp binary, low binary")
     n_hot = hot.count()
+    whole = {"block": F.lit(0), "i": F.lit(0), "j": F.lit(0)}
     if n_hot:
-        rows_in = rows_in.join(F.broadcast(hot) if n_hot <= 20_000 else hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        rows_in = _in_blocks(rows_in, "key", "fp", "blocks").drop("blocks")
+        keys = F.broadcast(hot) if n_hot <= 20_000 else hot
+        dealt = _in_blocks(rows_in.join(keys, "key"), "fp", "blocks").drop("blocks")
+        rows_in = rows_in.join(keys, "key", "left_anti").withColumns(whole).unionByName(dealt)
     else:
-        rows_in = rows_in.withColumns({"block": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
+        rows_in = rows_in.withColumns(whole)
     p, total = percent / 100, bands * rows
     least = int((p + (1 - p) / 256 - 6 * (p * (1 - p) / total) ** 0.5) * total)
     edges = _dealt(rows_in, "key").mapInArrow(_candidates(least), "a binary, b binary").distinct()
@@ -282,7 +284,7 @@ def near_duplicates(
     listed = listed.join(sizes, "label").select("label", "fp", "blocks", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
     listed = materialize(listed, "groups")
     texts = listed.join(source, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-    texts = _in_blocks(texts.select("label", "fp", "blocks", "text"), "label", "fp", "blocks")
+    texts = _in_blocks(texts.select("label", "fp", "blocks", "text"), "fp", "blocks")
     links = _dealt(texts, "label").mapInArrow(_verify(ngram, percent), "a binary, b binary, whole boolean")
     links = materialize(links, "links")
     rest = links.filter("not whole").select("a", "b")
