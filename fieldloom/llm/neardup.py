@@ -283,7 +283,8 @@ def near_duplicates(
     sizes = listed.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     listed = listed.join(sizes, "label").select("label", "fp", "blocks", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
     listed = materialize(listed, "groups")
-    texts = listed.join(source, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    # Never broadcast: the list of grouped documents grows with the input.
+    texts = listed.hint("merge").join(source, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
     texts = _in_blocks(texts.select("label", "fp", "blocks", "text"), "fp", "blocks")
     links = _dealt(texts, "label").mapInArrow(_verify(ngram, percent), "a binary, b binary, whole boolean")
     links = materialize(links, "links")
