@@ -27,8 +27,9 @@ SPAN_TYPE = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
 class Anchors:
-    """Positions that winnowing chooses: of any ``length`` bytes, wherever they stand, the first gram
-    of smallest hash. Two equal strings of that length therefore hold an anchor at the same offset."""
+    """Winnowing: of any ``length`` bytes, wherever they stand, the anchor is the first gram of smallest
+    hash. Two equal strings of that length therefore have an anchor at the same offset, and every
+    position at which ``length`` bytes start belongs to one anchor."""
 
     def __init__(self, length: int):
         self.length, self.window = length, length - GRAM + 1
@@ -42,11 +43,12 @@ class Anchors:
             down.append(down[-1] * back % 2**64)
         self.up, self.down = np.array(up, U64), np.array(down, U64)
 
-    def of(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted positions and their hashes."""
+    def of(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each anchor: position, hash, and the first and last start that belong to it."""
         grams = len(text) - GRAM + 1
         if grams < self.window:
-            return np.empty(0, np.int64), np.empty(0, U64)
+            none = np.empty(0, np.int64)
+            return none, np.empty(0, U64), none, none
         found = []
         for start in range(0, grams - self.window + 1, SEGMENT - self.window + 1):
             part = text[start : min(start + SEGMENT, grams) + GRAM - 1]
@@ -61,28 +63,27 @@ class Anchors:
                 step *= 2
             if step < self.window:
                 best = np.minimum(best[: len(best) - (self.window - step)], best[self.window - step :])
-            at = np.unique(best & low).astype(np.int64)
-            found.append((at + start, h[at]))
-        if len(found) == 1:
-            return found[0]
-        at, first = np.unique(np.concatenate([a for a, _ in found]), return_index=True)
-        return at, np.concatenate([h for _, h in found])[first]
+            of = (best & low).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            last = np.r_[first[1:], len(of)] - 1
+            at = of[first]
+            found.append((at + start, h[at], first + start, last + start))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
 
 
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, reach = Anchors(length), length - GRAM
+        anchors = Anchors(length)
         for batch in batches:
             held, count = [], 0
             for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), strict=True):
                 b = utf8(text.as_py())
-                at, h = anchors.of(np.frombuffer(b, np.uint8))
+                at, h, first, last = anchors.of(np.frombuffer(b, np.uint8))
                 if not len(at):
                     continue
-                left = np.minimum(at, reach)
-                end = np.minimum(len(b), at + length)
-                ch = [xxhash.xxh3_64_intdigest(b[p - s : e], s) for p, s, e in zip(at.tolist(), left.tolist(), end.tolist(), strict=True)]
-                held.append((h.view(np.int64), np.array(ch, U64).view(np.int64), np.full(len(at), k1), np.full(len(at), k2), at, left.astype(np.int32), (end - at + left).astype(np.int32)))
+                left, end = at - first, last + length
+                ch = [xxhash.xxh3_64_intdigest(b[s:e], x) for s, e, x in zip(first.tolist(), end.tolist(), left.tolist(), strict=True)]
+                held.append((h.view(np.int64), np.array(ch, U64).view(np.int64), np.full(len(at), k1), np.full(len(at), k2), at, left.astype(np.int32), (end - first).astype(np.int32)))
                 count += len(at)
                 if count > 50_000:
                     yield _batch(held, ["ah", "ch", "k1", "k2", "pos", "left", "size"])
@@ -97,7 +98,7 @@ def _batch(held: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
 
-def _cut_windows(length: int, text_col: str):
+def _cut_windows(text_col: str):
     """Documents with their wanted anchors -> the bytes around each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,7 @@ def _cut_windows(length: int, text_col: str):
                             pa.array([k2.as_py()] * k, pa.int64()),
                             pa.array([w["pos"] for w in part], pa.int64()),
                             pa.array([w["left"] for w in part], pa.int32()),
-                            pa.array([b[w["pos"] - w["left"] : w["pos"] + length] for w in part], pa.binary()),
+                            pa.array([b[w["pos"] - w["left"] : w["pos"] - w["left"] + w["size"]] for w in part], pa.binary()),
                         ],
                         ["ah", "ch", "n", "k1", "k2", "pos", "left", "bytes"],
                     )
@@ -147,7 +148,8 @@ def repeated_starts(windows: list[tuple[int, int, int, tuple, int, bytes]], leng
         symbols.append(np.fromiter(map(rank.__getitem__, tokens), np.int64, len(tokens)) + shift)
         symbols.append(np.array([len(windows) - w]))
         starts.append(np.r_[offsets, len(b)])
-        before.append(np.r_[1, sizes])
+        # The first token may be the rest of one, so the start of the window counts from the second.
+        before.append(np.r_[1, sizes[0] + 1, sizes[1:]])
         owner.append(np.full(len(tokens) + 1, w))
         base += len(b)
     symbols.append(np.zeros(1, np.int64))
@@ -204,6 +206,38 @@ def _covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[heads].tolist(), ends.tolist(), strict=True))
 
 
+def _ranges(left: int, size: int, length: int, parts: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The starts of a window dealt over ``parts`` ranges that are the same for all windows of a class:
+    number, first and last start it has there, first and last of the range, relative to the anchor."""
+    reach = length - GRAM
+    step = -(-(reach + 1) // parts)
+    low, high = -left, size - left - length
+    for k in range((low + reach) // step, (high + reach) // step + 1):
+        first, last = k * step - reach, min(0, (k + 1) * step - 1 - reach)
+        yield k, max(low, first), min(high, last), first, last
+
+
+def _shared(rows: list[dict], length: int, parts: int = 4) -> list[dict]:
+    """Windows of a class cut down to the starts whose range's core, the bytes that all strings from
+    there hold, stands in another window too; without any, a window is dropped."""
+    cores: dict[tuple[int, bytes], int] = {}
+    own = []
+    for r in rows:
+        b, left = r["bytes"], r["left"]
+        mine = [((k, b[last + left : first + left + length]), lo, hi) for k, lo, hi, first, last in _ranges(left, len(b), length, parts)]
+        own.append(mine)
+        for key, _, _ in mine:
+            cores[key] = cores.get(key, 0) + 1
+    out = []
+    for r, mine in zip(rows, own, strict=True):
+        good = [(lo, hi) for key, lo, hi in mine if cores[key] > 1]
+        if good:
+            lo, hi = good[0][0], good[-1][1]
+            b, left = r["bytes"], r["left"]
+            out.append(r | {"left": -lo, "bytes": b[lo + left : hi + left + length]})
+    return out
+
+
 def _search(length: int):
     """Windows sorted by anchor -> for those that stand once, what their class repeats of them."""
 
@@ -223,6 +257,7 @@ def _search(length: int):
         held, tokens = [], 0
         for group in _groups(batches, ["ah"]):
             rows = list({r["ch"]: r for r in group.to_pylist()}.values())
+            rows = _shared(rows, length) if len(rows) > 1 else []
             if len(rows) < 2:
                 continue
             held += rows
@@ -248,13 +283,7 @@ def _narrowed(length: int, parts: int):
             out = []
             for r in batch.to_pylist():
                 b, left = r["bytes"], r["left"]
-                step = -(-(length - GRAM + 1) // parts)
-                for k in range(parts):  # starts relative to the anchor, alike for all windows
-                    lo, hi = -left, min(0, len(b) - left - length)
-                    lo, hi = max(lo, k * step - (length - GRAM)), min(hi, (k + 1) * step - 1 - (length - GRAM))
-                    if lo > hi:
-                        continue
-                    first, last = k * step - (length - GRAM), min(0, (k + 1) * step - 1 - (length - GRAM))
+                for k, lo, hi, first, last in _ranges(left, len(b), length, parts):
                     core = b[last + left : first + left + length]
                     piece = b[lo + left : hi + left + length]
                     key = xxhash.xxh3_64_intdigest(core + r["ah"].to_bytes(8, "little", signed=True), k)
@@ -330,17 +359,18 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         raise ValueError(f"length must be at least {2 * GRAM}")
     short = keyed.select(F.col("_r_k1").alias("k1"), F.col("_r_k2").alias("k2"), text.alias("text"))
     rows = short.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "ah long, ch long, k1 long, k2 long, pos long, left int, size int")
+    rows = materialize(rows, "anchors")
     shared = rows.groupBy("ah").count().filter("count > 1").select("ah")
     rows = materialize(rows.join(shared, "ah"), "anchors")
     one = rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "left", "size")).alias("r"))
     one = materialize(one.select("ah", "ch", "n", "r.*"), "windows")
-    whole = one.filter(f"n > 1 and size >= {length}").select("ah", "ch", F.array(F.struct((-F.col("left")).alias("s"), (F.col("size") - F.col("left")).alias("e"))).alias("spans"))
+    whole = one.filter("n > 1").select("ah", "ch", F.array(F.struct((-F.col("left")).alias("s"), (F.col("size") - F.col("left")).alias("e"))).alias("spans"))
     several = one.groupBy("ah").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("ah", "m")
     several = materialize(several, "classes")
     wanted = one.join(several, "ah").groupBy(F.col("k1").alias("_r_k1"), F.col("k2").alias("_r_k2"))
-    wanted = wanted.agg(F.collect_list(F.struct("ah", "ch", "n", "pos", "left")).alias("wanted"))
+    wanted = wanted.agg(F.collect_list(F.struct("ah", "ch", "n", "pos", "left", "size")).alias("wanted"))
     with_text = keyed.join(wanted, ["_r_k1", "_r_k2"])  # with all columns, so that the last join can take over its shuffle
-    windows = with_text.mapInArrow(_cut_windows(length, text_col), WINDOWS)
+    windows = with_text.mapInArrow(_cut_windows(text_col), WINDOWS)
     spans = whole.unionByName(_resolve(windows, several, length, 0))
     pieces = rows.join(spans, ["ah", "ch"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "spans")).alias("pieces"))
     merged = pieces.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<s:int,e:int>>")
