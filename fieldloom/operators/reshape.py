@@ -22,7 +22,7 @@ SHEET = ["file", "sheet"]
 def _filled(values: Column) -> Column:
     """Nulls of an array filled from the left, the first ones from the right."""
     known = F.filter(values, lambda x: x.isNotNull())
-    left = F.transform(values, lambda x, i: F.element_at(F.filter(F.slice(values, F.lit(1), i + 1), lambda y: y.isNotNull()), -1))
+    left = F.transform(values, lambda x, i: F.try_element_at(F.filter(F.slice(values, F.lit(1), i + 1), lambda y: y.isNotNull()), F.lit(-1)))
     return F.transform(left, lambda x: F.coalesce(x, F.get(known, F.lit(0))))
 
 
@@ -47,7 +47,7 @@ def headers(rows: DataFrame) -> DataFrame:
     def month(x: Column) -> Column:
         s = F.nullif(F.nullif(strip(x), F.lit("")), F.lit("nan"))
         words = F.split(s, r"\s+")
-        last = F.element_at(words, -1)
+        last = F.try_element_at(words, F.lit(-1))
         return F.when((F.size(words) > 1) & last.rlike(r"(?U)^\p{Alpha}+$"), last).otherwise(s)
 
     return top.groupBy(*SHEET, "year_row").agg(

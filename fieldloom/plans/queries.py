@@ -182,7 +182,7 @@ def price_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {YIELDS} SELECT seq, 'In ' || "year" || ' ' || semester_label || ', the municipality of ' || CASE WHEN municipality = '' THEN '(unknown municipality)' ELSE municipality END ||
-  ', in ' || province || ', ' || region || ' recorded an average rice yield of ' || printf('%.2f', round(avg_yield_ton_ha, 2)) || ' ton/ha. (Source: PRiSM, scraped ' || substr(scraped_at, 1, 10) || ')' AS passage FROM yields"""
+  ', in ' || province || ', ' || region || ' recorded an average rice yield of ' || v // 100 || '.' || printf('%02d', v % 100) || ' ton/ha. (Source: PRiSM, scraped ' || substr(scraped_at, 1, 10) || ')' AS passage FROM (SELECT *, (CAST(round(avg_yield_ton_ha * 10000) AS BIGINT) + 50) // 100 AS v FROM yields)"""
 )
 def yield_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.yields(spark, sf_dir).select("seq", passages.yield_passage().alias("passage"))
