@@ -260,7 +260,7 @@ def near_duplicates(
     source = source.withColumn("th", F.xxhash64("text"))
     features = materialize(source.mapInArrow(_features(ngram, bands * rows), FEATURES), "minima")
     shingled = features.filter("n_shingles > 0")
-    nodes = shingled.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    nodes = shingled.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = materialize(nodes, "nodes")
 
     hot = nodes.select("sig").mapInArrow(_bands(rows, False), "key long").groupBy("key").count().filter(F.col("count") > BUCKET)

@@ -148,8 +148,9 @@ def repeated_starts(windows: list[tuple[int, int, int, tuple, int, bytes]], leng
         symbols.append(np.fromiter(map(rank.__getitem__, tokens), np.int64, len(tokens)) + shift)
         symbols.append(np.array([len(windows) - w]))
         starts.append(np.r_[offsets, len(b)])
-        # The first token may be the rest of one, so the start of the window counts from the second.
-        before.append(np.r_[1, sizes[0] + 1, sizes[1:]])
+        # A start that is a token's here may lie inside one in another window, so it counts from the
+        # next token as well.
+        before.append(np.r_[1, sizes + 1])
         owner.append(np.full(len(tokens) + 1, w))
         base += len(b)
     symbols.append(np.zeros(1, np.int64))
