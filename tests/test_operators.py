@@ -160,7 +160,7 @@ def test_validation(spark):
     assert "expected JSON object" in bad[6][0] and "must be integer" in bad[7][0] and "invalid" in bad[9][0]
     registry = spark.createDataFrame([("s", "s.jsonl", 100), ("t", "t.jsonl", 100)], "source_id string, path string, min_chars int")
     report = {r.source_id: r for r in V.file_reports(df, registry, quality=True).collect()}
-    assert report["s"].status == "failed" and report["s"].duplicates == 2 and report["s"].records == 8 and report["s"].empty_lines == 1
+    assert report["s"].status == "failed" and report["s"].duplicates == 1 and report["s"].records == 8 and report["s"].empty_lines == 1
     assert report["t"].status == "skipped"
 
 
