@@ -18,7 +18,7 @@ from .textkit import U64, mix, utf8
 
 GRAM = 64  #: bytes of an anchor
 SEGMENT = 1 << 20  #: bytes looked at in one go; positions fit in 20 bits
-CLASS = 1500  #: windows of one anchor in one suffix array
+CLASS = 4000  #: windows of one anchor in one suffix array
 BATCH = 60_000  #: tokens of many small classes in one suffix array
 TOKEN = re.compile(rb"[^\x09-\x0d ]*[\x09-\x0d ]|[^\x09-\x0d ]+")
 WINDOWS = "ah long, ch long, n long, k1 long, k2 long, pos long, left int, bytes binary"
@@ -361,22 +361,23 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     short = keyed.select(F.col("_r_k1").alias("k1"), F.col("_r_k2").alias("k2"), text.alias("text"))
     rows = short.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "ah long, ch long, k1 long, k2 long, pos long, left int, size int")
     rows = materialize(rows, "anchors")
+    # All of these tables grow with the input, so none is ever broadcast.
     shared = rows.groupBy("ah").count().filter("count > 1").select("ah")
-    rows = materialize(rows.join(shared, "ah"), "anchors")
+    rows = materialize(rows.join(shared.hint("merge"), "ah"), "anchors")
     one = rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "left", "size")).alias("r"))
     one = materialize(one.select("ah", "ch", "n", "r.*"), "windows")
     whole = one.filter("n > 1").select("ah", "ch", F.array(F.struct((-F.col("left")).alias("s"), (F.col("size") - F.col("left")).alias("e"))).alias("spans"))
     several = one.groupBy("ah").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("ah", "m")
     several = materialize(several, "classes")
-    wanted = one.join(several, "ah").groupBy(F.col("k1").alias("_r_k1"), F.col("k2").alias("_r_k2"))
+    wanted = one.join(several.hint("merge"), "ah").groupBy(F.col("k1").alias("_r_k1"), F.col("k2").alias("_r_k2"))
     wanted = wanted.agg(F.collect_list(F.struct("ah", "ch", "n", "pos", "left", "size")).alias("wanted"))
-    with_text = keyed.join(wanted, ["_r_k1", "_r_k2"])  # with all columns, so that the last join can take over its shuffle
+    with_text = keyed.join(wanted.hint("merge"), ["_r_k1", "_r_k2"])  # with all columns, so that the last join can take over its shuffle
     windows = with_text.mapInArrow(_cut_windows(text_col), WINDOWS)
     spans = whole.unionByName(_resolve(windows, several, length, 0))
-    pieces = rows.join(spans, ["ah", "ch"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "spans")).alias("pieces"))
+    pieces = rows.join(spans.hint("merge"), ["ah", "ch"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "spans")).alias("pieces"))
     merged = pieces.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<s:int,e:int>>")
     merged = merged.select(F.col("k1").alias("_r_k1"), F.col("k2").alias("_r_k2"), F.col("spans").alias("repeats"))
-    out = keyed.join(merged, ["_r_k1", "_r_k2"], "left")
+    out = keyed.join(merged.hint("merge"), ["_r_k1", "_r_k2"], "left")
     empty = F.array().cast("array<struct<s:int,e:int>>")
     return out.select(*docs.columns, F.coalesce("repeats", empty).alias("repeats"))
 
