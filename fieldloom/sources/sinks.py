@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import chunk_records
@@ -49,6 +49,16 @@ def write_store(spark: SparkSession, new: DataFrame, store: str, version: int, k
     return path
 
 
+def index_rows(rows: DataFrame, passage: Column, seq: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Normalised rows with point_id -> records and passages to store (the last row of each id), and one
+    row of counts: rows seen, records, passages."""
+    records = upsert(rows.limit(0), rows, "point_id", seq)
+    knowledge = records.withColumn("text", passage)
+    seen = rows.agg(F.count("*").alias("rows_seen"))
+    stored = records.agg(F.count("*").alias("records"), F.count("*").alias("knowledge"))
+    return records, knowledge, seen.join(stored)  # one row each
+
+
 def index_corpora(records: DataFrame, size: int = 0) -> tuple[DataFrame, DataFrame]:
     """Records with source_id -> payloads to store, and per source the rows read, indexed and skipped."""
     rows = chunk_records(records, F.col("doc_id"), size, 1).withColumn("text", F.col("chunk_text")).withColumn("doc_id", F.col("chunk_doc_id")) if size else records

@@ -189,6 +189,20 @@ def test_files_round_trip(spark, tmp_path):
         readers.read_corpora(spark, sources, "z")
 
 
+def test_index_runs(spark):
+    from fieldloom.functions.passages import price_passage
+
+    raw = [("Abra", "Cereals", "Palay", "2023", m, p) for m, p in (("August", "24.0"), ("August", "25.0"), ("May", ".."))]
+    rows = with_price_id(normalize_prices(spark.createDataFrame([(*r, i) for i, r in enumerate(raw)], PRICE + ", seq int")))
+    records, knowledge, stats = sinks.index_rows(rows, price_passage(), "seq")
+    assert tuple(stats.first()) == (3, 2, 2)
+    assert sorted(r.price_php_per_kg or 0 for r in records.collect()) == [0, 25.0]
+    assert all("Palay in Abra" in r.text for r in knowledge.collect())
+    docs = spark.createDataFrame([("s", "a", "x"), ("s", "b", " "), ("t", None, "x")], "source_id string, doc_id string, text string")
+    payloads, counts = sinks.index_corpora(docs)
+    assert payloads.count() == 1 and {r.source_id: (r.read, r.indexed, r.skipped) for r in counts.collect()} == {"s": (2, 1, 1), "t": (1, 0, 1)}
+
+
 def test_html(spark):
     html = (
         '<html><head><title> T &amp; t </title><script>x()</script></head><body><h1>H</h1><p>a <b>b</b></p><div id="detail_info"><table><tr><th>H1</th><th>H2</th></tr>'
