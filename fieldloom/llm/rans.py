@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, partitions
+from .shared import materialize, new_path, partitions
 from .textkit import U64
 from .tokens import encode_all, word_bpe
 
@@ -209,6 +209,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     tokens = source.mapInArrow(_tokens(path, end_id), "doc_id long, th long, n long, ids binary")
+    tokens = materialize(tokens, "tokens")  # the range partitioning reads its input twice
     ranged = tokens.repartitionByRange(partitions(docs), "doc_id", "th").sortWithinPartitions("doc_id", "th").withColumn("part", F.spark_partition_id())
     numbered = ranged.mapInArrow(_numbered, "doc_id long, n long, ids binary, part int, row long, before long")
     numbered.write.option("compression", "uncompressed").parquet(f"{out}/sorted")  # the ids are packed

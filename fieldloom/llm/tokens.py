@@ -21,7 +21,7 @@ def public_path(name: str) -> str:
 class WordTable:
     """Ids of words, kept in flat arrays: of a list of words the ids come in a few array steps."""
 
-    LIMIT = 600_000
+    LIMIT = 1_200_000
 
     def __init__(self) -> None:
         self.reset()
