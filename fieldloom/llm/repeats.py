@@ -301,11 +301,11 @@ def _resolve(windows: DataFrame, classes: DataFrame, length: int, level: int) ->
     search = lambda df: df.repartition(partitions(df), "ah").sortWithinPartitions("ah").mapInArrow(_search(length), SPANS)
     if level == len(PARTS):
         return search(windows)
+    windows = materialize(windows, "windows")  # at every size, so that the search can be repeated alone
     hot = materialize(classes.filter(F.col("m") > CLASS).select("ah"), "hot")
     n_hot = hot.count()
     if not n_hot:
         return search(windows)
-    windows = materialize(windows, "windows")
     key = F.broadcast(hot) if n_hot <= 100_000 else hot
     cold = search(windows.join(key, "ah", "left_anti"))
     schema = WINDOWS + ", of_ah long, of_ch long, shift int"
@@ -371,7 +371,7 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     several = materialize(several, "classes")
     wanted = one.join(several.hint("merge"), "ah").groupBy(F.col("k1").alias("_r_k1"), F.col("k2").alias("_r_k2"))
     wanted = wanted.agg(F.collect_list(F.struct("ah", "ch", "n", "pos", "left", "size")).alias("wanted"))
-    with_text = keyed.join(wanted.hint("merge"), ["_r_k1", "_r_k2"])  # with all columns, so that the last join can take over its shuffle
+    with_text = keyed.select("_r_k1", "_r_k2", text_col).join(wanted.hint("merge"), ["_r_k1", "_r_k2"])
     windows = with_text.mapInArrow(_cut_windows(text_col), WINDOWS)
     spans = whole.unionByName(_resolve(windows, several, length, 0))
     pieces = rows.join(spans.hint("merge"), ["ah", "ch"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "spans")).alias("pieces"))
