@@ -97,9 +97,8 @@ def sheets_to_prices(cells: DataFrame, unwanted: list[str] | None = None, labels
     values = F.slice("cells", F.lit(3), F.greatest(F.lit(0), F.size("cells") - 2))
     long = data.select(*SHEET, "row", "place", "commodity", "kind", "years", "months", F.posexplode(values).alias("col", "price"))
     at = lambda c: F.when(F.size(c) > 0, F.get(c, F.pmod(F.col("col"), F.size(c))))
-    price = strip(F.col("price"))
-    for k in KNOWN_TYPES:
-        price = F.regexp_replace(price, rf"\s*{re.escape(k)}\s*$", "")
+    trailing = r"^\s+|(?:\s*(?:" + "|".join(re.escape(k) for k in KNOWN_TYPES) + r"))*\s*$"
+    price = F.regexp_replace(F.col("price"), trailing, "")
     long = long.select(
         *SHEET, "row", "col",
         F.col("place").alias("Geolocation"), F.col("commodity").alias("Commodity"), F.col("kind").alias("Commodity Type"),
