@@ -17,6 +17,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIMS = ("x_length", "x_word", "x_symbols", "x_lines", "x_repeats")
 #: Standard deviation, in each dimension, that even a group of identical texts is given.
 LEAST_SD = (0.5, 0.35, 0.5, 0.4, 0.1)
+SHARE = 0.5  #: of each key's rows that fit; a group of copies may hold a third of them, and the rest holds outliers too
 PRIOR_WORDS, PRIOR_CHARS = 50, 275  #: added to each text, so that short ones don't scatter more
 P = len(DIMS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -155,7 +156,8 @@ def fit_outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "so
     From medians and median deviations, concentration steps keep the ``share`` of each key's rows
     with the smallest distances and estimate anew; the last step is reweighted at the 97.5 %
     quantile. Every step is a few sums per key over all rows, so a source of any size is no burden
-    for one task; the share is cut on a histogram of distances.
+    for one task; the share is cut on a histogram of distances. The estimate holds while less than
+    1 - ``share`` of a key's rows are contaminated; the queries take ``SHARE``, the largest breakdown.
     """
     rows = _vectors(stats, lang_col, source_col).select(F.explode("_keys").alias("key"), *DIMS)
     large = rows.groupBy("key").count().filter((F.col("count") >= least_rows) | ((F.col("key") == "g") & (F.col("count") >= 20)))
@@ -217,5 +219,5 @@ def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     own = {*STATS, "distance", "base_failed", "kept", *DIMS, "_keys"}
     plain = docs.select(*(c for c in docs.columns if c not in own))
-    fits = fit_outliers(materialize(with_stats(plain, [lang_col, source_col], text_col), "stats"), lang_col, source_col)
+    fits = fit_outliers(materialize(with_stats(plain, [lang_col, source_col], text_col), "stats"), lang_col, source_col, SHARE)
     return judge(with_stats(plain, plain.columns, text_col), fits, lang_col=lang_col, source_col=source_col)

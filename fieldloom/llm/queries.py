@@ -14,7 +14,7 @@ from .licenses import license_scan
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import decode_pieces, encode_pieces
-from .quality import fit_outliers, judge, with_stats
+from .quality import SHARE, fit_outliers, judge, with_stats
 from .rans import read_tokens, token_digests, write_tokens
 from .repeats import find_repeats, kept_bytes
 from .sharding import interleave
@@ -33,7 +33,7 @@ def op1_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stats = materialize(with_stats(docs, ["doc_id", "lang", "source"]), "stats")
-    return judge(stats, fit_outliers(stats)).drop("lang", "source")
+    return judge(stats, fit_outliers(stats, share=SHARE)).drop("lang", "source")
 
 
 def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

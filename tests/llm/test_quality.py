@@ -50,6 +50,17 @@ def test_outliers_go_and_clean_texts_stay(spark):
         assert r.base_failed == (r.text is None or r.text == "") and r.kept == (not junk and not r.base_failed), r.doc_id
 
 
+def test_a_third_of_copies_of_one_junk_text(spark):
+    """A source of which a third is one junk text again and again: copies and other junk go, the rest stays."""
+    rnd = random.Random(7)
+    rows = [(i, text(rnd, rnd.randint(30, 400), i % 20 == 0), "en", "s") for i in range(400)]
+    copy = text(rnd, 300, junk=True)
+    rows += [(1000 + i, copy, "en", "s") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for r in Q.with_quality(df).select("doc_id", "kept").collect():
+        assert r.kept == (r.doc_id < 1000 and r.doc_id % 20 != 0), r.doc_id
+
+
 def test_estimates_are_the_concentration_steps(spark):
     """The fit of one group against the same steps in numpy."""
     rnd = np.random.default_rng(1)
