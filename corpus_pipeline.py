@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.neardup import near_duplicates
+from fieldloom.llm.neardup import ROW_KEY, kept_rows, with_row_key
 from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.quality import with_quality
 from fieldloom.llm.repeats import without_repeats
@@ -20,10 +20,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8, the document with the smallest id stays."""
-    kept = near_duplicates(docs, ngram=5, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    """Of each group linked by five-word shingles at 0.8, one row stays: the one with the smallest id
+    (null ids last, then by text hash), and one of rows with equal id and text."""
+    # Partial aggregates first, so that no task holds all rows of a text that is repeated often.
+    once = with_row_key(docs).groupBy(*ROW_KEY).agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("_r"))
     # Never broadcast: the list grows with the input.
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    kept = kept_rows(docs, ngram=5, percent=80).hint("merge")
+    return once.join(kept, list(ROW_KEY), "left_semi").select("_r.*").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

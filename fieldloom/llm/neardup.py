@@ -15,6 +15,7 @@ from .textkit import MinHash, Union, WordHashes, band_keys, fingerprint, runs, s
 
 BUCKET = 4096  #: signatures compared in one block of a bucket
 BLOCK_SHINGLES = 2_000_000  #: shingles held at once in one block of a candidate group
+ROW_KEY = ("_no_id", "_id", "_th")
 FEATURES = "doc_id long, th long, n_shingles long, fp binary, sig binary"
 
 
@@ -231,31 +232,14 @@ def _dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(partitions(df), key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    ngram: int = 5,
-    percent: int = 80,
-    bands: int = 24,
-    rows: int = 4,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds ``ROW_KEY``: the id (null ids apart, and last) and the hash of the text."""
+    i = F.col(id_col).cast("long")
+    return docs.withColumns({"_no_id": i.isNull(), "_id": F.coalesce(i, F.lit(0)), "_th": F.xxhash64(F.col(text_col).cast("string"))})
 
-    Documents are linked if 100 * |intersection| >= percent * |union| of their ``ngram``-word shingle
-    sets (A-Z lower-cased, words apart at ASCII white space). Equal sets are one node. ``bands * rows``
-    universal hash minima make a signature; nodes meet in a bucket if the ``rows`` minima of a band are
-    equal (24 x 4: a pair of similarity 0.8 is missed with probability 3e-6). In each bucket the pairs
-    whose signatures agree within six standard deviations of the threshold are joined by a spanning
-    forest; the components of these edges are the candidate groups, and inside each all links are
-    found on the full sets. Buckets and groups too large for one task are dealt out as pairs of
-    blocks, so nothing is capped. Components come from alternating large-star and small-star.
 
-    Null or empty text: n_shingles 0, linked with nothing. Fewer words than ``ngram``: one shingle.
-    Repeated rows and ids: one result row each; component_id is the smallest doc_id reachable, kept
-    says whether it is the row's own (null ids are only smallest where all are null). An empty table
-    gives an empty result. Other columns of ``docs`` are not looked at.
-    """
+def _owned(docs: DataFrame, ngram: int, percent: int, bands: int, rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The features of each row, and for each node its least row ``rep`` and the label of its component."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     source = source.withColumn("th", F.xxhash64("text"))
     features = materialize(source.mapInArrow(_features(ngram, bands * rows), FEATURES), "minima")
@@ -293,8 +277,49 @@ def near_duplicates(
     if not rest.isEmpty():
         labels = labels.unionByName(connected_components(rest).select(F.col("node").alias("fp"), "label"))
 
-    owned = nodes.select("fp", F.col("rep.doc_id").alias("rep_id")).join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least_id = owned.groupBy("label").agg(F.min("rep_id").alias("component_id"))
+    owned = nodes.select("fp", "rep").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return features, owned
+
+
+def kept_rows(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``ROW_KEY`` (see ``with_row_key``) of one row per component of ``near_duplicates``: that of the
+    smallest id, null ids last, and of equal ids that of the smallest text hash. Rows without shingles,
+    which are linked with nothing, are all in it. No key occurs twice, so equal rows share one.
+    """
+    features, owned = _owned(docs, ngram, percent, bands, rows, id_col, text_col)
+    key = lambda i, th: [i.isNull().alias("_no_id"), F.coalesce(i, F.lit(0)).alias("_id"), th.alias("_th")]
+    least = owned.groupBy("label").agg(F.min("rep").alias("rep")).select(*key(F.col("rep.doc_id"), F.col("rep.th")))
+    bare = features.filter("n_shingles = 0").select(*key(F.col("doc_id"), F.col("th"))).distinct()
+    return least.unionByName(bare)
+
+
+def near_duplicates(
+    docs: DataFrame,
+    ngram: int = 5,
+    percent: int = 80,
+    bands: int = 24,
+    rows: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+
+    Documents are linked if 100 * |intersection| >= percent * |union| of their ``ngram``-word shingle
+    sets (A-Z lower-cased, words apart at ASCII white space). Equal sets are one node. ``bands * rows``
+    universal hash minima make a signature; nodes meet in a bucket if the ``rows`` minima of a band are
+    equal (24 x 4: a pair of similarity 0.8 is missed with probability 3e-6). In each bucket the pairs
+    whose signatures agree within six standard deviations of the threshold are joined by a spanning
+    forest; the components of these edges are the candidate groups, and inside each all links are
+    found on the full sets. Buckets and groups too large for one task are dealt out as pairs of
+    blocks, so nothing is capped. Components come from alternating large-star and small-star.
+
+    Null or empty text: n_shingles 0, linked with nothing. Fewer words than ``ngram``: one shingle.
+    Repeated rows and ids: one result row each; component_id is the smallest doc_id reachable, kept
+    says whether it is the row's own (null ids are only smallest where all are null). An empty table
+    gives an empty result. Other columns of ``docs`` are not looked at.
+    """
+    features, owned = _owned(docs, ngram, percent, bands, rows, id_col, text_col)
+    least_id = owned.groupBy("label").agg(F.min("rep.doc_id").alias("component_id"))
     of_node = owned.join(least_id, "label").select(F.col("fp").alias("node_fp"), "component_id")
     out = features.select("doc_id", "n_shingles", "fp").join(of_node, F.col("fp") == F.col("node_fp"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

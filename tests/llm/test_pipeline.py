@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -31,5 +32,28 @@ def test_run_against_stages_by_brute_force(spark):
     assert got == want
 
 
+def test_repeated_rows_and_null_ids_leave_one_document(spark):
+    """Each group keeps one row by brute force on the texts, and the next stage loses none of them."""
+    from tests.llm.test_neardup import brute as brute_groups
+
+    rnd = random.Random(3)
+    a, b, c, d, e = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(100)) for _ in range(5))
+    near = b.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, a), (1, a), (None, a), (None, b), (None, b), (7, b), (9, near), (None, c), (None, c), (3, d), (3, e), (4, e), (5, d), (None, None), (6, "")]
+    table = [(i, t, "en", f"s{n}", len(t or "")) for n, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    deduped = corpus_pipeline.near_dedup(spark, df, "")
+    assert deduped.columns == corpus_pipeline.COLUMNS
+    got = [(r.doc_id, r.text) for r in deduped.collect()]
+    group = {}
+    for n, _, least in brute_groups([(n, t) for n, (_, t) in enumerate(rows)], 5, 80):
+        group.setdefault(least, []).append(n)
+    last = lambda i: 10**9 if i is None else i
+    want = [min((rows[n] for n in ns), key=lambda r: last(r[0])) for ns in group.values()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, deduped, "").collect()]
+    assert sorted(left, key=str) == sorted(((1, a), (7, b), (None, c), (3, d), (3, e)), key=str)
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "repeated_passages", "packing"]
