@@ -20,6 +20,7 @@ LEAST_SD = (0.5, 0.35, 0.5, 0.4, 0.1)
 SHARE = 0.5  #: of each key's rows that fit; a group of copies may hold a third of them, and the rest holds outliers too
 PRIOR_WORDS, PRIOR_CHARS = 50, 275  #: added to each text, so that short ones don't scatter more
 P = len(DIMS)
+LEAST_ROWS = 5 * P  #: of a key that gets an estimate of its own
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 SPACE = bytes([9, 10, 11, 12, 13, 32])
 
@@ -149,7 +150,7 @@ def _distance() -> Column:
     return total
 
 
-def fit_outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 6, least_rows: int = 200) -> DataFrame:
+def fit_outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 6, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Minimum-covariance-determinant estimates ``(key, m*, q*)`` of each language and source, of each
     language, and of all rows, for keys of at least ``least_rows`` rows (all rows: at least 20).
 

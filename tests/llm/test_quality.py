@@ -61,6 +61,15 @@ def test_a_third_of_copies_of_one_junk_text(spark):
         assert r.kept == (r.doc_id < 1000 and r.doc_id % 20 != 0), r.doc_id
 
 
+def test_a_small_source_is_judged_by_its_own_rows(spark):
+    """Texts that are usual in a source of 60 rows stay, however rare in the language; its own outlier goes."""
+    rnd = random.Random(8)
+    rows = [(i, text(rnd, rnd.randint(30, 400)), "en", "plain") for i in range(300)]
+    rows += [(1000 + i, text(rnd, rnd.randint(30, 400), i < 59), "en", "small") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in Q.with_quality(df).filter("not kept").collect()} == {1059}
+
+
 def test_estimates_are_the_concentration_steps(spark):
     """The fit of one group against the same steps in numpy."""
     rnd = np.random.default_rng(1)
