@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -12,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordTable, encode_all, public_path
+from .shared import spare
+from .tokens import WordTable, encode_all, public_path, together
 
 SPACE = "▁"
 
@@ -62,8 +65,9 @@ class PieceTable(WordTable):
         each relaxes the best score there; of equal scores the first stays. A character that is no
         piece can be taken as its bytes, for less than any piece."""
         n = len(word)
-        best = [0.0] + [-float("inf")] * n
-        back = [(0, -1)] * (n + 1)
+        best = array("d", [-inf]) * (n + 1)  # 16 bytes a character, also where a text has no space
+        length_of, piece_of = array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
         done = 0
 
         def relax_unknown(upto: int) -> None:
@@ -71,7 +75,7 @@ class PieceTable(WordTable):
             while done < upto:
                 c = word[done]
                 if c not in self.single and best[done] + self.penalty > best[done + 1]:
-                    best[done + 1], back[done + 1] = best[done] + self.penalty, (1, -1)
+                    best[done + 1], length_of[done + 1], piece_of[done + 1] = best[done] + self.penalty, 1, -1
                 done += 1
 
         for end, (length, score, i) in self.automaton.iter(word):
@@ -79,23 +83,23 @@ class PieceTable(WordTable):
                 relax_unknown(end)
             s = best[end + 1 - length] + score
             if s > best[end + 1]:
-                best[end + 1], back[end + 1] = s, (length, i)
+                best[end + 1], length_of[end + 1], piece_of[end + 1] = s, length, i
         relax_unknown(n)
         ids: list[int] = []
         at = n
         while at > 0:
-            length, i = back[at]
+            i = piece_of[at]
             if i >= 0:
                 ids.append(i)
             elif self.byte_ids:
                 ids += [self.byte_ids[b] for b in reversed(word[at - 1].encode("utf-8", "surrogatepass"))]
             else:
                 ids.append(self.unknown)
-            at -= length
+            at -= length_of[at]
         return ids[::-1], best[n]
 
-    def learn(self, words: list[str]) -> list[list[int]]:
-        return [self.segment(w)[0] for w in words]
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return together([self.segment(w)[0] for w in words])
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -107,40 +111,76 @@ def piece_table(path: str | None) -> PieceTable:
     return PieceTable(path or public_path("piece_bpe_32k.model"))
 
 
-def encode_pieces(docs: DataFrame, path: str | None = None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+class ByteTable:
+    """Bytes of each piece, all that decoding needs."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.bytes = [b""] * model.get_piece_size()
+        for i in range(len(self.bytes)):
+            if model.is_byte(i):
+                self.bytes[i] = bytes([int(model.id_to_piece(i)[3:5], 16)])
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+                self.bytes[i] = model.id_to_piece(i).replace(SPACE, " ").encode("utf-8")
+
+    def decode(self, ids: np.ndarray) -> str:
+        raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        return raw[1:].decode("utf-8", "replace") if raw else ""
+
+
+@lru_cache(maxsize=1)
+def byte_table(path: str | None) -> ByteTable:
+    return ByteTable(path or public_path("piece_bpe_32k.model"))
+
+
+def encode_pieces(docs: DataFrame, path: str | None = None, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """Columns ``keep`` (default: all) of ``docs`` and ``pieces``, the ids of each whole text as
-    little-endian 32-bit integers; null text stays null, an empty one has no pieces.
+    little-endian 32-bit integers; with ``decoded`` also the text that these ids give back, made in
+    the same pass (so that a task runs one Python worker, not two).
 
     The scores are the model's own, added up over the pieces; a vocabulary of merge ranks gives the
     segmentation of the best total rank. ``path``: None for the public 32k vocabulary.
+
+    Null text stays null, an empty one has no pieces. Repeated rows each get their pieces; an empty
+    table gives an empty result. A column that is called ``pieces`` (or ``decoded``) is replaced; all
+    other names are free.
     """
-    names = keep if keep is not None else [c for c in docs.columns if c != "pieces"]
-    source = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text"] + ["pieces binary"])
+    new = ["pieces", "decoded"] if decoded else ["pieces"]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    inner = spare("text", names)
+    source = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias(inner))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != inner] + ["pieces binary", "decoded string"][: len(new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = part.column("_text").to_pylist()
-                ids = [None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, encode_all(table, texts), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids, pa.binary())], [*names, "pieces"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = part.column(inner).to_pylist()
+                ids = encode_all(table, texts)
+                out = [pa.array([None if t is None else x.astype("<u4").tobytes() for t, x in zip(texts, ids, strict=True)], pa.binary())]
+                if decoded:
+                    out.append(pa.array([None if t is None else table.decode(x) for t, x in zip(texts, ids, strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *out], [*names, *new])
 
     return source.mapInArrow(run, schema)
 
 
 def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds ``decoded``, the text that ``pieces`` stand for; null stays null."""
+    """Adds ``decoded``, the text that ``pieces`` stand for; null stays null, no pieces are the empty
+    text, bytes that are no UTF-8 become replacement characters. Repeated rows and an empty table
+    stay as they are; a column that is called ``decoded`` is replaced."""
     names = [c for c in encoded.columns if c != "decoded"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded"] + ["decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = piece_table(path)
+        table = byte_table(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 texts = [None if x is None else table.decode(np.frombuffer(x, "<u4")) for x in part.column("pieces").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return encoded.select(*names).mapInArrow(run, schema)
+    return encoded.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)

@@ -35,6 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores in front as it takes to be none of the ``taken`` names; case
+    doesn't set names apart."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session, which the caller sizes to the input."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -19,29 +19,41 @@ def public_path(name: str) -> str:
 
 
 class WordTable:
-    """Ids of words, kept in flat arrays: of a list of words the ids come in a few array steps."""
+    """Ids of words, kept in flat arrays: of a list of words the ids come in a few array steps.
 
-    LIMIT = 1_200_000
+    The table is emptied when its words would take more than about ``LIMIT`` bytes, so that a worker's
+    memory doesn't follow the vocabulary of the corpus.
+    """
+
+    LIMIT = 72 << 20
+    ENTRY = 160  #: bytes of a short word's entry, besides its characters and ids
 
     def __init__(self) -> None:
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.used, self.flat_used = 0, 0
+        self.sizes, self.starts, self.flat = np.empty(1024, np.int64), np.empty(1024, np.int64), np.empty(4096, np.uint32)
 
-    def learn(self, words: list[str]) -> list[list[int]]:
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has."""
         raise NotImplementedError
 
     def _add(self, words: set[str]) -> None:
-        if len(self.index) + len(words) > self.LIMIT:
-            self.reset()
         new = list(words)
-        ids = self.learn(new)
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.sizes = np.r_[self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))]
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        cost = sum(map(len, new)) + self.ENTRY * len(new)
+        if self.used and self.used + cost > self.LIMIT:
+            self.reset()
+        ids, sizes = self.learn(new)
+        n, m = len(self.index), self.flat_used
+        self.sizes, self.starts = _room(self.sizes, n + len(new)), _room(self.starts, n + len(new))
+        self.flat = _room(self.flat, m + len(ids))
+        self.sizes[n : n + len(new)] = sizes
+        self.starts[n : n + len(new)] = m + np.cumsum(sizes) - sizes
+        self.flat[m : m + len(ids)] = ids
+        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        self.used, self.flat_used = self.used + cost + 4 * len(ids), m + len(ids)
 
     def ids_and_ends(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in order, and where each word's ids end."""
@@ -52,7 +64,11 @@ class WordTable:
             missing = set(words).difference(index)
             self._add(missing)
             if len(self.index) == len(missing):  # it was emptied: the known ones are needed again
-                self._add(set(words).difference(self.index))
+                known = set(words).difference(self.index)
+                if known:
+                    limit, self.LIMIT = self.LIMIT, 1 << 62  # these words are needed together
+                    self._add(known)
+                    self.LIMIT = limit
             at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
@@ -61,6 +77,21 @@ class WordTable:
         return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])], ends
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a``, or a copy with twice the room or more, if it has none for ``n`` entries."""
+    if n <= len(a):
+        return a
+    out = np.empty(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+def together(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and their sizes."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+
 #: The pre-tokenizer's pattern with the letters, digits and spaces of Latin-1 spelled out.
 _L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
 PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
@@ -76,10 +107,40 @@ class WordBpe(WordTable):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         super().__init__()
 
-    def learn(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that are one part to the pre-tokenizer are encoded together as one text: each ends
+        with an id that carries the mark of a word's end. All others are encoded one by one."""
+        single = np.fromiter(map(self._is_part, words), bool, len(words))
+        parts = [w for w, one in zip(words, single, strict=True) if one]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                found.append(self._one_by_one(some))
+            else:
+                found.append((ids, np.diff(ends, prepend=0)))
+        if len(parts) < len(words):
+            found.append(self._one_by_one([w for w, one in zip(words, single, strict=True) if not one]))
+        flat, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(parts) in (0, len(words)):
+            return flat, sizes
+        order = np.argsort(np.r_[np.flatnonzero(single), np.flatnonzero(~single)])
+        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        ends = np.cumsum(sizes)
+        return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(len(flat))], sizes
+
+    def _is_part(self, word: str) -> bool:
+        return PARTS.fullmatch(word) is not None and word == word.lower() and not OTHER.search(word)
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return together([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
 
     def words(self, text: str) -> list[str]:
         """Parts of a text that the tokenizer treats on their own.
