@@ -42,8 +42,10 @@ def read_prices(spark: SparkSession, path: str, schema_version: str = "1") -> Da
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD_FIELDS) -> DataFrame:
     """JSON lines; blank lines, broken JSON and what is no object are skipped."""
-    rows = spark.read.schema(schema + ", _bad string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    return rows.filter("_bad is null").drop("_bad")
+    lines = spark.read.text(path).filter(F.ltrim("value").startswith("{"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = lines.select(F.from_json("value", schema + ", _bad string", options).alias("r"))
+    return rows.filter("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
 def read_split_jsonl(lines: DataFrame) -> DataFrame:
