@@ -13,7 +13,7 @@ from .chat import chat_windows, digests, read_windows
 from .licenses import license_scan
 from .neardup import near_duplicates
 from .packing import pack_documents
-from .pieces import decode_pieces, encode_pieces
+from .pieces import encode_pieces
 from .quality import SHARE, fit_outliers, judge, with_stats
 from .rans import read_tokens, token_digests, write_tokens
 from .repeats import find_repeats, kept_bytes
@@ -45,7 +45,7 @@ def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether they decode to it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = decode_pieces(encode_pieces(docs))
+    decoded = encode_pieces(docs, decoded=True)
     pieces = F.coalesce("pieces", F.unhex(F.lit("")))
     return decoded.select(
         "doc_id",
