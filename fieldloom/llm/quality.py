@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, spare
 from .textkit import WordHashes, shingles, utf8
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -21,6 +21,8 @@ SHARE = 0.5  #: of each key's rows that fit; a group of copies may hold a third
 PRIOR_WORDS, PRIOR_CHARS = 50, 275  #: added to each text, so that short ones don't scatter more
 P = len(DIMS)
 LEAST_ROWS = 5 * P  #: of a key that gets an estimate of its own
+STARTS = 3  #: small subsets that a key's estimate begins at, besides its medians
+BROADCAST_ROWS = 20_000  #: of a counted table, some 4 MB of estimates
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 SPACE = bytes([9, 10, 11, 12, 13, 32])
 
@@ -52,14 +54,17 @@ def text_stats(text: str | None, cache: WordHashes) -> tuple[int, int, int, int,
 
 
 def with_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` and the five statistics."""
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text"] + [f"{c} long" for c in STATS])
+    """Columns ``keep`` of ``docs`` and the five statistics, which replace columns of their names. Null
+    and empty texts have none of anything; repeated rows each get theirs; an empty table stays empty."""
+    keep = [c for c in keep if c not in STATS]
+    inner = spare("text", keep)
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(inner))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != inner] + [f"{c} long" for c in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            rows = [text_stats(t.as_py(), cache) for t in batch.column("_text")]
+            rows = [text_stats(t.as_py(), cache) for t in batch.column(inner)]
             numbers = np.array(rows, np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(numbers[:, i]) for i in range(len(STATS))], [*keep, *STATS])
 
@@ -114,9 +119,10 @@ def _medians(values: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def _fits(df: DataFrame, factor: float) -> DataFrame:
-    """(key, n, sums, cross sums) -> (key, centre, inverse of the floored covariance)."""
+    """(key, start, n, sums, cross sums) -> (key, start, logarithm of the determinant, centre, inverse) of
+    the floored covariance."""
     floor = np.diag(np.square(LEAST_SD))
-    names = ["key", *(f"m{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
+    names = ["key", "start", "det", *(f"m{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,14 +133,15 @@ def _fits(df: DataFrame, factor: float) -> DataFrame:
             cov = np.empty((len(n), P, P))
             for i, j in PAIRS:
                 cov[:, i, j] = cov[:, j, i] = batch.column(f"c{i}{j}").to_numpy() / n - s[:, i] * s[:, j]
-            inv = np.linalg.inv(cov * factor + floor)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(s[:, i]) for i in range(P)), *(pa.array(inv[:, i, j]) for i, j in PAIRS)], names)
+            cov = cov * factor + floor
+            inv, det = np.linalg.inv(cov), np.round(np.linalg.slogdet(cov)[1], 9)  # equal subsets stay equal in any order of adding
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), pa.array(det), *(pa.array(s[:, i]) for i in range(P)), *(pa.array(inv[:, i, j]) for i, j in PAIRS)], names)
 
-    return df.mapInArrow(run, ", ".join(["key string", *(f"{c} double" for c in names[1:])]))
+    return df.mapInArrow(run, ", ".join(["key string", "start int", *(f"{c} double" for c in names[2:])]))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(
+    return rows.groupBy("key", "start").agg(
         F.count("*").alias("n"),
         *(F.sum(c).alias(f"s{i}") for i, c in enumerate(DIMS)),
         *(F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"c{i}{j}") for i, j in PAIRS),
@@ -150,43 +157,92 @@ def _distance() -> Column:
     return total
 
 
-def fit_outliers(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 6, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """Minimum-covariance-determinant estimates ``(key, m*, q*)`` of each language and source, of each
-    language, and of all rows, for keys of at least ``least_rows`` rows (all rows: at least 20).
+def _needed(vectors: DataFrame, least_rows: int) -> DataFrame:
+    """Keys with rows enough for an estimate that some row is judged by: each large language and source,
+    a language with a smaller source in it, and all rows if a language is small."""
+    groups = vectors.groupBy(*(F.col("_keys")[i].alias(f"k{i}") for i in range(3))).agg(F.count("*").alias("n"))
+    langs = groups.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    whole = langs.groupBy("k2").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    own = groups.filter(F.col("n") >= least_rows).select(F.col("k0").alias("key"))
+    langs = langs.filter((F.col("n") >= least_rows) & (F.col("least") < least_rows)).select("k1")
+    return own.unionByName(langs.toDF("key")).unionByName(whole.filter((F.col("n") >= 20) & (F.col("least") < least_rows)).select(F.col("k2").alias("key")))
 
-    From medians and median deviations, concentration steps keep the ``share`` of each key's rows
-    with the smallest distances and estimate anew; the last step is reweighted at the 97.5 %
-    quantile. Every step is a few sums per key over all rows, so a source of any size is no burden
-    for one task; the share is cut on a histogram of distances. The estimate holds while less than
-    1 - ``share`` of a key's rows are contaminated; the queries take ``SHARE``, the largest breakdown.
-    """
-    rows = _vectors(stats, lang_col, source_col).select(F.explode("_keys").alias("key"), *DIMS)
-    large = rows.groupBy("key").count().filter((F.col("count") >= least_rows) | ((F.col("key") == "g") & (F.col("count") >= 20)))
-    rows = materialize(rows.join(large.drop("count"), "key"), "vectors")
 
+def _sized(small: DataFrame) -> DataFrame:
+    """A table of keys or estimates, to be broadcast if it has been counted and is short, else merged,
+    where Spark splits partitions of hot keys."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small.hint("merge")
+
+
+def _medians_start(rows: DataFrame) -> DataFrame:
+    """Start 0: medians, and median deviations without covariances."""
     long = rows.select("key", F.posexplode(F.array(*DIMS)).alias("dim", "x"))
     centre = materialize(_medians(long, ["key", "dim"], "x"), "medians")
     far = long.join(centre, ["key", "dim"]).select("key", "dim", F.abs(F.col("x") - F.col("median")).alias("x"))
     scale = _medians(far, ["key", "dim"], "x").select("key", "dim", (F.col("median") * 1.4826).alias("scale"))
-    start = centre.join(scale, ["key", "dim"]).groupBy("key").agg(
+    return centre.join(scale, ["key", "dim"]).groupBy("key").agg(
+        F.lit(0).alias("start"),
+        F.lit(0.0).alias("det"),
         *(F.max(F.when(F.col("dim") == i, F.col("median"))).alias(f"m{i}") for i in range(P)),
         *(
             F.max(F.when(F.col("dim") == i, 1 / (F.col("scale") ** 2 + LEAST_SD[i] ** 2)) if i == j else F.lit(0.0)).alias(f"q{i}{j}")
             for i, j in PAIRS
         ),
     )
-    fits = materialize(start, "fits")
+
+
+def _elemental_starts(rows: DataFrame, starts: int) -> DataFrame:
+    """Starts 1 to ``starts``: mean and covariance of one row more than there are dimensions, those of
+    smallest seeded hash. The hash is of the row's values, so copies of a text count once here."""
+    picks = [(s, i) for s in range(1, starts + 1) for i in range(P + 1)]
+    value = lambda s, i: F.struct(F.xxhash64(F.lit(s), F.lit(i), *DIMS).alias("h"), F.lit(s).alias("start"), *DIMS)
+    picked = rows.groupBy("key").agg(*(F.min(value(s, i)).alias(f"p{s}_{i}") for s, i in picks))
+    picked = picked.select("key", F.explode(F.array(*(f"p{s}_{i}" for s, i in picks))).alias("p")).select("key", "p.start", *(f"p.{c}" for c in DIMS))
+    return _fits(_moments(picked), 1.0)
+
+
+def fit_outliers(
+    stats: DataFrame, lang_col: str = "lang", source_col: str = "source", share: float = SHARE, steps: int = 6, least_rows: int = LEAST_ROWS, starts: int = STARTS
+) -> DataFrame:
+    """Minimum-covariance-determinant estimates ``(key, m*, q*)`` of each language and source, and, for
+    rows of smaller ones, of their language or of all rows; a key has at least ``least_rows`` rows
+    (all rows: at least 20).
+
+    Each key begins at its medians and at ``starts`` small subsets of its rows. A concentration step
+    keeps the ``share`` of a key's rows with the smallest distances and estimates anew. After two
+    steps from every start, the one with the smallest determinant goes on; the last step is
+    reweighted at the 97.5 % quantile. Every step is a few sums per key over all rows, so a source
+    of any size is no burden for one task; the share is cut on a histogram of distances. Covariances
+    have the floor ``LEAST_SD`` (a regularised determinant, as many texts agree in a statistic). The
+    estimate holds while less than 1 - ``share`` of a key's rows are contaminated.
+    """
+    vectors = _vectors(stats, lang_col, source_col).select("_keys", *DIMS)
+    needed = _sized(materialize(_needed(vectors, least_rows), "keys"))
+    rows = materialize(vectors.select(F.explode("_keys").alias("key"), *DIMS).join(needed, "key"), "vectors")
     factor = share / _chi2_cdf(_chi2_quantile(share, P), P + 2)
-    for _ in range(steps):
-        near = rows.join(fits, "key").select("key", *DIMS, F.floor(F.log1p(_distance()) * 200).alias("bin"))
-        bins = near.groupBy("key", "bin").count()
-        w = Window.partitionBy("key")
+    w = Window.partitionBy("key", "start")
+
+    def concentrate(fits: DataFrame) -> DataFrame:
+        near = rows.join(_sized(fits), "key").select("key", "start", *DIMS, F.floor(F.log1p(_distance()) * 200).alias("bin"))
+        bins = near.groupBy("key", "start", "bin").count()
         bins = bins.withColumns({"_n": F.sum("count").over(w), "_c": F.sum("count").over(w.orderBy("bin"))})
-        cut = bins.filter(F.col("_c") >= share * F.col("_n")).groupBy("key").agg(F.min("bin").alias("cut"))
-        fits = materialize(_fits(_moments(near.join(cut, "key").filter("bin <= cut")), factor), "fits")
-    inner = rows.join(fits, "key").filter(_distance() <= _chi2_quantile(0.975, P)).select("key", *DIMS)
+        cut = bins.filter(F.col("_c") >= share * F.col("_n")).groupBy("key", "start").agg(F.min("bin").alias("cut"))
+        cut = _sized(materialize(cut, "cuts"))
+        return materialize(_fits(_moments(near.join(cut, ["key", "start"]).filter("bin <= cut")), factor), "fits")
+
+    fits = _medians_start(rows)
+    if starts:
+        fits = fits.unionByName(_elemental_starts(rows, starts))
+    fits = materialize(fits, "fits")
+    for _ in range(min(2, steps)):
+        fits = concentrate(fits)
+    rest = [c for c in fits.columns if c not in ("key", "det", "start")]
+    fits = materialize(fits.groupBy("key").agg(F.min(F.struct("det", "start", *rest)).alias("r")).select("key", "r.*"), "fits")
+    for _ in range(steps - 2):
+        fits = concentrate(fits)
+    inner = rows.join(_sized(fits), "key").filter(_distance() <= _chi2_quantile(0.975, P)).select("key", "start", *DIMS)
     reweighted = 0.975 / _chi2_cdf(_chi2_quantile(0.975, P), P + 2)
-    return materialize(_fits(_moments(inner), reweighted), "fits")
+    return materialize(_fits(_moments(inner), reweighted).drop("start", "det"), "fits")
 
 
 def judge(stats: DataFrame, fits: DataFrame, quantile: float = 1 - 1e-5, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -198,11 +254,10 @@ def judge(stats: DataFrame, fits: DataFrame, quantile: float = 1 - 1e-5, lang_co
     """
     cut = _chi2_quantile(quantile, P)
     rows = _vectors(stats, lang_col, source_col)
-    joined = fits
     names = [c for c in fits.columns if c != "key"]
-    for level in range(3):
-        part = joined.select(F.col("key").alias(f"_k{level}"), *(F.col(c).alias(f"{c}_{level}") for c in names))
-        rows = rows.join(part, F.col("_keys")[level] == F.col(f"_k{level}"), "left")
+    for level, kind in enumerate("slg"):
+        part = fits.filter(F.col("key").startswith(kind)).select(F.col("key").alias(f"_k{level}"), *(F.col(c).alias(f"{c}_{level}") for c in names))
+        rows = rows.join(_sized(part), F.col("_keys")[level] == F.col(f"_k{level}"), "left")
     pick = lambda c: F.when(F.col("_k0").isNotNull(), F.col(f"{c}_0")).when(F.col("_k1").isNotNull(), F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
     rows = rows.select(*stats.columns, *DIMS, *(pick(c).alias(c) for c in names))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -77,7 +77,7 @@ def test_estimates_are_the_concentration_steps(spark):
     words = rnd.integers(30, 500, n)
     stats = [(int(i), "en", "s", int(w), int(w * rnd.uniform(4, 7)), int(rnd.poisson(1) + (i % 9 == 0) * w), 0, 0) for i, w in enumerate(words)]
     df = spark.createDataFrame(stats, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in Q.STATS))
-    fit = {r.key: r for r in Q.fit_outliers(df, steps=6).collect()}
+    fit = {r.key: r for r in Q.fit_outliers(df, share=0.75, steps=6).collect()}
     s = np.array([x[3:] for x in stats], float)
     base = s[:, 0] + Q.PRIOR_WORDS
     x = np.stack([np.log(base), (s[:, 1] + Q.PRIOR_CHARS) / base, np.log1p(100 * s[:, 2] / base), np.log1p(100 * s[:, 3] / base), s[:, 4] / base], 1)
@@ -85,14 +85,29 @@ def test_estimates_are_the_concentration_steps(spark):
     median = lambda v: (np.floor(np.sort(v, axis=0)[(n + 1) // 2 - 1] * 500) + 0.5) / 500
     m = median(x)
     inv = np.diag(1 / ((1.4826 * median(np.abs(x - m))) ** 2 + np.square(Q.LEAST_SD)))
-    d2 = lambda: np.einsum("ni,ij,nj->n", x - m, inv, x - m)
-    for _ in range(6):
-        b = np.floor(np.log1p(d2()) * 200)
+    d2 = lambda m, inv: np.einsum("ni,ij,nj->n", x - m, inv, x - m)
+
+    def step(m, inv):
+        b = np.floor(np.log1p(d2(m, inv)) * 200)
         near = x[b <= np.sort(b)[int(np.ceil(0.75 * n)) - 1]]
-        m, cov = near.mean(axis=0), np.cov(near.T, bias=True)
-        inv = np.linalg.inv(cov * 0.75 / Q._chi2_cdf(Q._chi2_quantile(0.75, 5), 7) + floor)
-    near = x[d2() <= Q._chi2_quantile(0.975, 5)]
-    m = near.mean(axis=0)
+        cov = np.cov(near.T, bias=True) * 0.75 / Q._chi2_cdf(Q._chi2_quantile(0.75, 5), 7) + floor
+        return near.mean(axis=0), np.linalg.inv(cov), np.round(np.linalg.slogdet(cov)[1], 9)
+
+    rows = spark.createDataFrame([("k", *map(float, v)) for v in x], "key string, " + ", ".join(f"{c} double" for c in Q.DIMS))
+    begin = [(0, m, inv)]
+    for r in sorted(Q._elemental_starts(rows, Q.STARTS).collect(), key=lambda r: r.start):
+        full = np.array([[r[f"q{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)])
+        begin.append((r.start, np.array([r[f"m{i}"] for i in range(5)]), full))
+    assert len(begin) == 1 + Q.STARTS
+    ends = []
+    for s0, m, inv in begin:
+        for _ in range(2):
+            m, inv, det = step(m, inv)
+        ends.append((det, s0, m, inv))
+    _, _, m, inv = min(ends, key=lambda e: e[:2])
+    for _ in range(4):
+        m, inv, _ = step(m, inv)
+    m = x[d2(m, inv) <= Q._chi2_quantile(0.975, 5)].mean(axis=0)
     got = fit["s\t=en\t=s"]
     assert np.allclose([got[f"m{i}"] for i in range(5)], m, atol=1e-6)
 
