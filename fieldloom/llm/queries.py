@@ -16,7 +16,7 @@ from .packing import pack_documents
 from .pieces import encode_pieces
 from .quality import SHARE, fit_outliers, judge, with_stats
 from .rans import read_tokens, token_digests, write_tokens
-from .repeats import find_repeats, kept_bytes
+from .repeats import find_repeats, kept_bytes, kept_text
 from .sharding import interleave
 from .shared import materialize, new_path
 from .vptree import nearest
@@ -74,7 +74,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, removed, spans, digests = [], [], [], []
+            size, removed, spans, digests, texts = [], [], [], [], []
             for text, repeats in zip(batch.column("text").to_pylist(), batch.column("repeats").to_pylist(), strict=True):
                 kept = kept_bytes(text, repeats)
                 cut = sum(x["e"] - x["s"] for x in repeats)
@@ -82,10 +82,12 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 removed.append(cut)
                 spans.append(len(repeats))
                 digests.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept_text(text, repeats))
             numbers = [pa.array(x, pa.int64()) for x in (size, removed, spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(digests, pa.string()), pa.array(texts, pa.string())], names)
 
-    return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,8 +340,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(out, SPAN_TYPE)], ["k1", "k2", "spans"])
 
 
-def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``repeats``, an array of (s, e): the maximal runs of UTF-8 bytes covered by strings
+_REPEATS = "_r_repeats"
+
+
+def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", name: str = "repeats") -> DataFrame:
+    """``docs`` with ``repeats`` (or another ``name``), an array of (s, e): the maximal runs of UTF-8 bytes covered by strings
     of ``length`` bytes that also start anywhere else, in this document or another. Strings never
     cross documents, and are judged on the input.
 
@@ -352,7 +355,8 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     many different windows is narrowed to longer shared cores until each fits a task.
 
     Null or short text: no repeats. Repeated rows are repeats of each other. An empty table gives an
-    empty result. All columns of ``docs`` stay; names beginning with ``_r_`` are reserved.
+    empty result. All columns of ``docs`` stay, but one that is called ``name`` is replaced; names that
+    begin with ``_r_`` are reserved.
     """
     text, ident = F.col(text_col).cast("string"), F.col(id_col).cast("long")
     keyed = docs.withColumns({"_r_k1": F.coalesce(ident, F.lit(-(2**63))), "_r_k2": F.xxhash64(text)})
@@ -361,14 +365,13 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     short = keyed.select(F.col("_r_k1").alias("k1"), F.col("_r_k2").alias("k2"), text.alias("text"))
     rows = short.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "ah long, ch long, k1 long, k2 long, pos long, left int, size int")
     rows = materialize(rows, "anchors")
-    # All of these tables grow with the input, so none is ever broadcast.
-    shared = rows.groupBy("ah").count().filter("count > 1").select("ah")
-    rows = materialize(rows.join(shared.hint("merge"), "ah"), "anchors")
+    # Counts per anchor and content come first, so that an anchor that stands very often is one row a
+    # content in the joins that follow; all of these tables grow with the input.
     one = rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "left", "size")).alias("r"))
     one = materialize(one.select("ah", "ch", "n", "r.*"), "windows")
+    several = one.groupBy("ah").agg(F.count("*").alias("m"), F.min("n").alias("least"))
     whole = one.filter("n > 1").select("ah", "ch", F.array(F.struct((-F.col("left")).alias("s"), (F.col("size") - F.col("left")).alias("e"))).alias("spans"))
-    several = one.groupBy("ah").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("ah", "m")
-    several = materialize(several, "classes")
+    several = materialize(several.filter("m > 1 and least = 1").select("ah", "m"), "classes")
     wanted = one.join(several.hint("merge"), "ah").groupBy(F.col("k1").alias("_r_k1"), F.col("k2").alias("_r_k2"))
     wanted = wanted.agg(F.collect_list(F.struct("ah", "ch", "n", "pos", "left", "size")).alias("wanted"))
     with_text = keyed.select("_r_k1", "_r_k2", text_col).join(wanted.hint("merge"), ["_r_k1", "_r_k2"])
@@ -376,10 +379,10 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     spans = whole.unionByName(_resolve(windows, several, length, 0))
     pieces = rows.join(spans.hint("merge"), ["ah", "ch"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "spans")).alias("pieces"))
     merged = pieces.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<s:int,e:int>>")
-    merged = merged.select(F.col("k1").alias("_r_k1"), F.col("k2").alias("_r_k2"), F.col("spans").alias("repeats"))
+    merged = merged.select(F.col("k1").alias("_r_k1"), F.col("k2").alias("_r_k2"), F.col("spans").alias("_r_spans"))
     out = keyed.join(merged.hint("merge"), ["_r_k1", "_r_k2"], "left")
     empty = F.array().cast("array<struct<s:int,e:int>>")
-    return out.select(*docs.columns, F.coalesce("repeats", empty).alias("repeats"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != name), F.coalesce("_r_spans", empty).alias(name))
 
 
 def kept_bytes(text: str | None, repeats: list) -> bytes:
@@ -391,19 +394,31 @@ def kept_bytes(text: str | None, repeats: list) -> bytes:
     return b"".join(out)
 
 
-def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_text(text: str | None, repeats: list) -> str | None:
+    """The text without its repeats; a character of which a byte is cut goes whole, null stays null."""
+    return text if not repeats or text is None else kept_bytes(text, repeats).decode("utf-8", "ignore")
+
+
+def _of_words(text: str | None, repeats: list, least: int) -> list:
+    """Those of the repeats that hold ``least`` words or more, words cut at their ends included."""
+    if not least or not repeats:
+        return repeats
+    b = utf8(text)
+    return [x for x in repeats if len(b[x["s"] : x["e"]].split()) >= least]
+
+
+def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", least_words: int = 0) -> DataFrame:
     """``docs`` with the repeats cut out of the text; a character of which a byte is cut goes whole.
-    Null text stays null."""
-    found = find_repeats(docs, length, id_col, text_col)
+    Repeats of fewer than ``least_words`` words stay. Null text stays null, an empty or short one as it
+    is; repeated rows are repeats of each other; an empty table gives an empty result. All columns stay."""
+    found = find_repeats(docs, length, id_col, text_col, _REPEATS)
     schema = found.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                t if not r or t is None else kept_bytes(t, r).decode("utf-8", "ignore")
-                for t, r in zip(batch.column(text_col).to_pylist(), batch.column("repeats").to_pylist(), strict=True)
-            ]
+            both = zip(batch.column(text_col).to_pylist(), batch.column(_REPEATS).to_pylist(), strict=True)
+            texts = [kept_text(t, _of_words(t, r, least_words)) for t, r in both]
             i = batch.schema.get_field_index(text_col)
             yield batch.set_column(i, batch.schema.field(i).name, pa.array(texts, pa.string()))
 
-    return found.mapInArrow(run, schema).drop("repeats")
+    return found.mapInArrow(run, schema).drop(_REPEATS)
