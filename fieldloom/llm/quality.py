@@ -168,10 +168,10 @@ def _needed(vectors: DataFrame, least_rows: int) -> DataFrame:
     return own.unionByName(langs.toDF("key")).unionByName(whole.filter((F.col("n") >= 20) & (F.col("least") < least_rows)).select(F.col("k2").alias("key")))
 
 
-def _sized(small: DataFrame) -> DataFrame:
-    """A table of keys or estimates, to be broadcast if it has been counted and is short, else merged,
-    where Spark splits partitions of hot keys."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small.hint("merge")
+def _sized(small: DataFrame, rows: int) -> DataFrame:
+    """A table of keys or estimates with at most ``rows`` counted rows: broadcast if that is short, else
+    merged, where Spark splits partitions of hot keys."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small.hint("merge")
 
 
 def _medians_start(rows: DataFrame) -> DataFrame:
@@ -217,17 +217,19 @@ def fit_outliers(
     estimate holds while less than 1 - ``share`` of a key's rows are contaminated.
     """
     vectors = _vectors(stats, lang_col, source_col).select("_keys", *DIMS)
-    needed = _sized(materialize(_needed(vectors, least_rows), "keys"))
-    rows = materialize(vectors.select(F.explode("_keys").alias("key"), *DIMS).join(needed, "key"), "vectors")
+    needed = materialize(_needed(vectors, least_rows), "keys")
+    n_keys = needed.count()
+    rows = materialize(vectors.select(F.explode("_keys").alias("key"), *DIMS).join(_sized(needed, n_keys), "key"), "vectors")
+    n_fits = n_keys * (1 + starts)
     factor = share / _chi2_cdf(_chi2_quantile(share, P), P + 2)
     w = Window.partitionBy("key", "start")
 
     def concentrate(fits: DataFrame) -> DataFrame:
-        near = rows.join(_sized(fits), "key").select("key", "start", *DIMS, F.floor(F.log1p(_distance()) * 200).alias("bin"))
+        near = rows.join(_sized(fits, n_fits), "key").select("key", "start", *DIMS, F.floor(F.log1p(_distance()) * 200).alias("bin"))
         bins = near.groupBy("key", "start", "bin").count()
         bins = bins.withColumns({"_n": F.sum("count").over(w), "_c": F.sum("count").over(w.orderBy("bin"))})
         cut = bins.filter(F.col("_c") >= share * F.col("_n")).groupBy("key", "start").agg(F.min("bin").alias("cut"))
-        cut = _sized(materialize(cut, "cuts"))
+        cut = _sized(cut, n_fits)
         return materialize(_fits(_moments(near.join(cut, ["key", "start"]).filter("bin <= cut")), factor), "fits")
 
     fits = _medians_start(rows)
@@ -240,7 +242,7 @@ def fit_outliers(
     fits = materialize(fits.groupBy("key").agg(F.min(F.struct("det", "start", *rest)).alias("r")).select("key", "r.*"), "fits")
     for _ in range(steps - 2):
         fits = concentrate(fits)
-    inner = rows.join(_sized(fits), "key").filter(_distance() <= _chi2_quantile(0.975, P)).select("key", "start", *DIMS)
+    inner = rows.join(_sized(fits, n_keys), "key").filter(_distance() <= _chi2_quantile(0.975, P)).select("key", "start", *DIMS)
     reweighted = 0.975 / _chi2_cdf(_chi2_quantile(0.975, P), P + 2)
     return materialize(_fits(_moments(inner), reweighted).drop("start", "det"), "fits")
 
@@ -255,9 +257,10 @@ def judge(stats: DataFrame, fits: DataFrame, quantile: float = 1 - 1e-5, lang_co
     cut = _chi2_quantile(quantile, P)
     rows = _vectors(stats, lang_col, source_col)
     names = [c for c in fits.columns if c != "key"]
+    n_fits = fits.count()
     for level, kind in enumerate("slg"):
         part = fits.filter(F.col("key").startswith(kind)).select(F.col("key").alias(f"_k{level}"), *(F.col(c).alias(f"{c}_{level}") for c in names))
-        rows = rows.join(_sized(part), F.col("_keys")[level] == F.col(f"_k{level}"), "left")
+        rows = rows.join(_sized(part, n_fits), F.col("_keys")[level] == F.col(f"_k{level}"), "left")
     pick = lambda c: F.when(F.col("_k0").isNotNull(), F.col(f"{c}_0")).when(F.col("_k1").isNotNull(), F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
     rows = rows.select(*stats.columns, *DIMS, *(pick(c).alias(c) for c in names))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
