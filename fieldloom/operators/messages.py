@@ -84,6 +84,7 @@ def place(text: Column, places: tuple[str, ...] = PLACES) -> Column:
 def years(text: Column, today_year: int) -> Column:
     """Struct (year_min, year_max): of two years in the text both, else one, else relative words."""
     low = F.lower(text)
+    # The patterns of years and of "years ago" in both languages.
     found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)(19\d{2}|20\d{2}|21\d{2})(?!\d)"), F.lit(1)), lambda y: y.cast("int"))
     found = F.filter(found, lambda y: y <= 2100)
     ago = F.coalesce(
