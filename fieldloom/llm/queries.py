@@ -120,6 +120,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_chat_windows": r"""
+WITH turns AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+sized AS (
+  SELECT *, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS tok,
+    17 + length(role) + length(regexp_replace(role, '[^\n^<\[]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\^<\[]', '', 'g')) AS chars FROM turns),
+placed AS (
+  SELECT *, row_number() OVER o AS pos, sum(tok) OVER (o ROWS UNBOUNDED PRECEDING) AS till FROM sized
+  WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+marked AS (SELECT *, pos = 1 AND role = 'system' AS sys FROM placed),
+led AS (SELECT *, max(CASE WHEN sys THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS st, max(CASE WHEN sys THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS has FROM marked),
+spans AS (SELECT *, CASE WHEN sys THEN -1 ELSE floor((till - st - 1) / greatest(1, floor((512 - st) / 2))) END AS span FROM led),
+windows AS (SELECT *, greatest(0, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) - 1 - has) AS w FROM spans),
+starts AS (SELECT conv_id, w, min(pos) AS first, min(till - tok) AS since, 512 - any_value(st) - sum(tok) AS room FROM windows WHERE NOT sys GROUP BY conv_id, w),
+pieces AS (
+  SELECT conv_id, chars FROM windows
+  UNION ALL SELECT h.conv_id, h.chars FROM windows h JOIN starts s ON h.conv_id IS NOT DISTINCT FROM s.conv_id
+    WHERE NOT h.sys AND s.first - h.pos BETWEEN 1 AND 3 AND s.since - (h.till - h.tok) <= s.room
+  UNION ALL SELECT h.conv_id, h.chars FROM windows h JOIN starts s ON h.conv_id IS NOT DISTINCT FROM s.conv_id WHERE h.sys AND s.w > 0),
+formatted AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM pieces GROUP BY conv_id),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS t,
+    coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss FROM placed GROUP BY conv_id)
+SELECT whole.conv_id, n_turns, sha256(t) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM whole JOIN formatted ON whole.conv_id IS NOT DISTINCT FROM formatted.conv_id
+""",
     "op10_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

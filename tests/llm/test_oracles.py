@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 def test_query_equals_its_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(df.columns)
