@@ -135,16 +135,24 @@ def message_counts(annotated: DataFrame) -> DataFrame:
 def answer_price_queries(annotated: DataFrame, prices: DataFrame) -> DataFrame:
     """Price summary for each message that asks for one: a null place, commodity or year is any.
 
-    Prices are summed once to (place, commodity, year), and messages are reduced to their distinct
-    requests, which meet the sums; nothing is looked up message by message.
+    Prices are summed once for every subset of (place, commodity, year), and messages are reduced to
+    their distinct requests, one row a year asked for, which meet the sums of their subset by equal
+    keys; nothing is looked up message by message.
     """
-    cube = prices.filter("price_php_per_kg is not null").groupBy("geolocation", "commodity", "year").agg(F.count("*").alias("n"), F.sum(F.round(F.col("price_php_per_kg") * 100).cast("long")).alias("s"))
+    cents = F.sum(F.round(F.col("price_php_per_kg") * 100).cast("long"))
+    cube = prices.filter("price_php_per_kg is not null").cube("geolocation", "commodity", "year").agg(F.grouping_id().cast("int").alias("any"), F.count("*").alias("n"), cents.alias("s"))
     asked = annotated.filter("preferred = 'summarize_prices'").select("place", "commodity", F.col("years.year_min").alias("y0"), F.col("years.year_max").alias("y1")).distinct()
-    left, right = asked.alias("a"), cube.alias("p")
+    # Which keys are any, as the bits of the cube's grouping id; a year range is at most two centuries.
+    is_any = [F.col(c).isNull().cast("int") for c in ("place", "commodity", "y0")]
+    no_year = F.array(F.lit(None).cast("int"))
+    years_asked = F.when(F.col("y0").isNull(), no_year).otherwise(F.sequence("y0", "y1"))
+    requests = asked.withColumn("any", 4 * is_any[0] + 2 * is_any[1] + is_any[2]).withColumn("y", F.explode(years_asked))
+    left, right = requests.alias("a"), cube.alias("p")
     on = (
-        (F.col("a.place").isNull() | (F.col("a.place") == F.col("p.geolocation")))
-        & (F.col("a.commodity").isNull() | (F.col("a.commodity") == F.col("p.commodity")))
-        & (F.col("a.y0").isNull() | F.col("p.year").between(F.col("a.y0"), F.col("a.y1")))
+        (F.col("a.any") == F.col("p.any"))
+        & F.col("a.place").eqNullSafe(F.col("p.geolocation"))
+        & F.col("a.commodity").eqNullSafe(F.col("p.commodity"))
+        & F.col("a.y").eqNullSafe(F.col("p.year"))
     )
     found = left.join(right, on, "left").groupBy("a.place", "a.commodity", "a.y0", "a.y1")
     return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("priced_rows"), rounded_ratio(F.sum("s"), F.sum("n"), 2).alias("avg_price"))
