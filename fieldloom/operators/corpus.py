@@ -180,3 +180,19 @@ def looks_like(rows: DataFrame, kind: str) -> Column:
         return source.isin("philrice", "pinoyrice") | contains_any(text, ("paper", "publication", "research", "study", "journal", ".pdf"))
     page = F.col("page").isNotNull() if "page" in rows.columns else F.lit(False)
     return (source == "philrice_news") | (~page & ~text.contains(".pdf") & (text.contains("news") | (source == "irri")))
+
+
+def latest_documents(rows: DataFrame, found: Column, limit: int, kind: str | None = None, score: str = "score", key: str = "point_id") -> DataFrame:
+    """The newest ``limit`` documents with their date ``found``: newest first, then by score, then key.
+
+    Rows without a date go; ``kind`` keeps only those that ``looks_like`` says are news or papers. Of
+    the rows of one document the first in that order stays, by an aggregate with partial results, so
+    copies neither fill the list nor gather in one task.
+    """
+    names = [F.col(f"`{c}`") for c in rows.columns if c != "found"]
+    dated = rows.select(*names, found.alias("found"), document_key(rows).alias("_document"))
+    dated = dated.filter(F.col("found").isNotNull() & (looks_like(rows, kind) if kind else F.lit(True)))
+    worth = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    order = F.struct(-F.unix_date("found"), -worth, F.col(key))
+    best = dated.groupBy("_document").agg(F.min_by(F.struct(*names, "found"), order).alias("r")).select("r.*")
+    return best.orderBy(F.desc("found"), worth.desc(), key).limit(limit)

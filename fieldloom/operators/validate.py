@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -64,7 +64,7 @@ def file_reports(lines: DataFrame, registry: DataFrame, quality: bool = False, s
 
     ``lines(source_id, line_no, line)`` are physical lines, ``registry(source_id, path, min_chars)``.
     A source without lines is skipped, or failed if ``strict``. All errors are counted; the first 50 by
-    line and 20 duplicate ids are shown.
+    line and 20 duplicate ids are shown, and ``more_duplicates`` says how many ids are not.
     """
     blank = F.coalesce(strip(F.col("line")), F.lit("")) == ""
     least = F.col("min_chars") if quality else F.lit(0)
@@ -76,6 +76,11 @@ def file_reports(lines: DataFrame, registry: DataFrame, quality: bool = False, s
         F.count("*").alias("error_count"),
         F.min_by("error", F.struct("line_no", "error")).alias("first_error"),
     )
+    # Spark keeps each task's first rows of a source before it shuffles them.
+    nth = F.row_number().over(Window.partitionBy("source_id").orderBy("line_no", "error"))
+    shown = listed.withColumn("nth", nth).filter(F.col("nth") <= SHOWN_ERRORS).groupBy("source_id")
+    shown = shown.agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "error"))), lambda x: x.error).alias("errors"))
+    errors = errors.join(shown, "source_id")
     records = checked.groupBy("source_id").agg(F.count("*").alias("records"))
     twice = duplicate_ids(checked).groupBy("source_id").agg(F.count("*").alias("duplicates"), F.slice(F.sort_array(F.collect_list("doc_id")), 1, SHOWN_IDS).alias("duplicate_doc_ids"))
     out = registry.join(counts, "source_id", "left").join(records, "source_id", "left").join(errors, "source_id", "left").join(twice, "source_id", "left")
@@ -85,5 +90,6 @@ def file_reports(lines: DataFrame, registry: DataFrame, quality: bool = False, s
     bad = (F.col("records") == 0) | (F.col("error_count") > 0)
     if quality:
         bad = bad | (F.col("duplicates") > 0) | (ratio > empty_ratio)
+    more = F.greatest(F.lit(0), F.col("duplicates") - SHOWN_IDS)
     status = F.when(missing, F.lit("failed" if strict else "skipped")).when(bad, "failed").otherwise("ok")
-    return out.select("source_id", "path", status.alias("status"), "records", "physical_lines", "empty_lines", F.round(100 * ratio, 2).alias("empty_percent"), "error_count", "first_error", "duplicates", "duplicate_doc_ids")
+    return out.select("source_id", "path", status.alias("status"), "records", "physical_lines", "empty_lines", F.round(100 * ratio, 2).alias("empty_percent"), "error_count", "first_error", "errors", "duplicates", "duplicate_doc_ids", more.alias("more_duplicates"))

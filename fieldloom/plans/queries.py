@@ -382,6 +382,22 @@ def latest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("found is not null").orderBy(F.desc("found"), "page_id").limit(50)
 
 
+@query(
+    """WITH d AS (SELECT o_orderkey AS point_id, CASE o_orderkey % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'papers' END AS kind, o_custkey AS doc, CAST(o_orderdate AS DATE) AS found, o_orderkey % 7 AS score FROM orders),
+  b AS (SELECT *, row_number() OVER (PARTITION BY kind, doc ORDER BY found DESC, score DESC, point_id) AS n FROM d WHERE kind IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY found DESC, score DESC, point_id) AS r FROM b WHERE n = 1)
+  SELECT kind, point_id, 'Customer ' || doc AS title, CAST(found AS VARCHAR) AS found FROM r WHERE r <= 50"""
+)
+def latest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as dated hits, a customer's as one document: the latest news-like and paper-like ones."""
+    source = F.when(F.col("o_orderkey") % 3 == 0, "irri").when(F.col("o_orderkey") % 3 == 1, "philrice").otherwise("other")
+    hits = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("point_id"), source.alias("source_id"), F.concat(F.lit("Customer "), "o_custkey").alias("title"), F.col("o_orderdate").alias("date"), (F.col("o_orderkey") % 7).cast("double").alias("score")
+    )
+    both = [C.latest_documents(hits, first_valid_date(F.col("date")), 50, kind).withColumn("kind", F.lit(kind)) for kind in ("news", "papers")]
+    return both[0].unionByName(both[1]).select("kind", "point_id", "title", F.col("found").cast("string").alias("found"))
+
+
 def _any(words: tuple[str, ...], c: str = "x") -> str:
     return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 

@@ -162,6 +162,10 @@ def test_validation(spark):
     report = {r.source_id: r for r in V.file_reports(df, registry, quality=True).collect()}
     assert report["s"].status == "failed" and report["s"].duplicates == 1 and report["s"].records == 8 and report["s"].empty_lines == 1
     assert report["t"].status == "skipped"
+    assert report["s"].error_count == 6 and len(report["s"].errors) == 6 and report["s"].errors[0] == report["s"].first_error and report["s"].more_duplicates == 0
+    many = spark.createDataFrame([("s", i, json.dumps([i])) for i in range(1, 71)], "source_id string, line_no int, line string")
+    cut = V.file_reports(many, registry).filter("source_id = 's'").first()
+    assert cut.error_count == 70 and [e.split(":")[0] for e in cut.errors] == [f"Line {i}" for i in range(1, V.SHOWN_ERRORS + 1)]
 
 
 def test_split_jsonl(spark):
@@ -220,6 +224,23 @@ def test_html(spark):
     assert [tuple(x) for x in H.provinces(df).collect()] == [(12, "Abra")]
 
 
+def test_latest_documents(spark):
+    rows = [
+        (1, "irri", "A", "2024-05-01", 1.0), (2, "irri", "a ", "2024-05-01", 2.0), (3, "irri", "B", "2025-01-01", None),
+        (4, "philrice", "A study", "2026-01-01", 9.0), (5, "irri", "C", None, 9.0),
+    ]
+    df = spark.createDataFrame(rows, "point_id long, source_id string, title string, date string, score double")
+    ids = lambda kind, n=9: [r.point_id for r in C.latest_documents(df, F.to_date("date"), n, kind).collect()]
+    assert ids(None) == [4, 3, 2] and ids("news") == [3, 2] and ids("papers") == [4] and ids(None, 1) == [4]
+
+
+def test_words_holding(spark):
+    words = spark.createDataFrame([("abcabc",), ("b",), ("xbcy",), ("ñu",)], "word string")
+    terms = spark.createDataFrame([("b",), ("bca",), ("bc",), ("abcd",), ("ñu",)], "term string")
+    want = sorted((w, t) for (w,) in words.collect() for (t,) in terms.collect() if t in w)
+    assert sorted(map(tuple, S.words_holding(words, terms).collect())) == want
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "palay price abra", [1.0, 0.0]), (2, "corn price", [0.0, 1.0]), (3, "palay palay", [0.7, 0.7])], "point_id long, text string, vector array<float>")
     q = spark.createDataFrame([(0, "palay price", [1.0, 0.1])], "query_id long, query string, vector array<float>")
