@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .backoff import backoff_scores
 from .chat import chat_windows, digests, read_windows
 from .licenses import license_scan
+from .merkle import merkle_proofs
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pieces import encode_pieces
@@ -19,6 +21,7 @@ from .rans import read_tokens, token_digests, write_tokens
 from .repeats import find_repeats, kept_bytes, kept_text
 from .sharding import interleave
 from .shared import materialize, new_path
+from .trie import conversation_trie, forked
 from .vptree import nearest
 
 
@@ -103,6 +106,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=4, percent=80)
 
 
+def op11_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(forked(table(spark, sf_dir, "conversations")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In a fifth of the rows the text is tampered with: its A-Z are lower-cased."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    chosen = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    return merkle_proofs(table(spark, sf_dir, "documents"), F.when(chosen, lower).otherwise(F.col("text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -116,9 +134,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_stratified_shards,
         op9_vantage_point_trees,
         op10_minhash_near_dedup,
+        op11_backoff_automaton,
+        op12_conversation_trie,
+        op13_merkle_manifest,
     )
 }
 
+
+def _crc32(text: str) -> str:
+    """DuckDB has no CRC-32: bit by bit over the characters of an ASCII string."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::UBIGINT)),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))"""
+
+
+def _merkle_sql(source_levels: int = 5, forest_levels: int = 4) -> str:
+    """The trees level by level; each level is one step, and a tree that has reached its root stays as it is."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    head = " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    steps = []
+
+    def climb(nodes: str, docs: str, levels: int) -> None:
+        for k in range(levels):
+            steps.append(f"""
+{nodes}g{k} AS (SELECT s, i // 16 AS p, string_agg(h, '' ORDER BY i) AS t, any_value(m) > 1 AS up
+  FROM (SELECT *, count(*) OVER (PARTITION BY s) AS m FROM {nodes}{k}) GROUP BY s, i // 16),
+{nodes}{k + 1} AS (SELECT s, p AS i, CASE WHEN up THEN sha256(t) ELSE t END AS h FROM {nodes}g{k}),
+{docs}{k + 1} AS (SELECT d.* REPLACE (
+    CASE WHEN up THEN i // 16 ELSE i END AS i,
+    CASE WHEN up THEN sha256(substr(t, 1, 64 * (i % 16)) || f || substr(t, 64 * (i % 16) + 65)) ELSE f END AS f,
+    CASE WHEN up THEN proof || substr(t, 1, 64 * (i % 16)) || substr(t, 64 * (i % 16) + 65) ELSE proof END AS proof)
+  FROM {docs}{k} d JOIN {nodes}g{k} g ON d.s IS NOT DISTINCT FROM g.s AND d.i // 16 = g.p)""")
+
+    climb("a", "d", source_levels)
+    steps.append(f"""
+b0 AS (SELECT 0 AS s, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS i, h, s AS source FROM a{source_levels}),
+e0 AS (SELECT d.doc_id, d.leaf, b0.h AS subroot, 0 AS s, b0.i, d.f, d.proof FROM d{source_levels} d JOIN b0 ON d.s IS NOT DISTINCT FROM b0.source)""")
+    climb("b", "e", forest_levels)
+    return f"""
+WITH d0 AS (
+  SELECT doc_id, source AS s, leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, '' AS proof,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN changed ELSE leaf END AS f
+  FROM (SELECT *, sha256({head} || {part("text")}) AS leaf,
+    sha256({head} || {part("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS changed FROM documents)),
+a0 AS (SELECT s, i, leaf AS h FROM d0),{",".join(steps)}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified
+FROM e{forest_levels} CROSS JOIN b{forest_levels} r
+"""
+
 ORACLES: dict[str, str] = {
     "op5_chat_windows": r"""
 WITH turns AS (
@@ -173,4 +235,50 @@ reach(d, r) AS (SELECT doc_id, doc_id FROM sets UNION SELECT e.b, reach.r FROM r
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
 FROM sets s JOIN (SELECT d, min(r) AS c FROM reach GROUP BY d) m ON m.d = s.doc_id
 """,
+    "op11_backoff_automaton": rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % 10 = 0, false) AS held,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS w FROM documents),
+places AS (SELECT r, doc_id, held, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM texts),
+tokens AS (SELECT *, lag(w, 1, '  ') OVER (PARTITION BY r ORDER BY i) AS h FROM places),
+uni AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held GROUP BY w),
+total AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM uni),
+states AS (SELECT w AS h, c FROM uni UNION ALL SELECT '  ', count(*) FROM texts WHERE NOT held HAVING count(*) > 0),
+pairs AS (SELECT h, w, count(*) AS c FROM tokens WHERE NOT held GROUP BY h, w HAVING count(*) >= 2),
+mass AS (SELECT h, sum(c) AS m, count(*) AS k FROM pairs GROUP BY h),
+weights AS (SELECT h, c, (c - coalesce(m, 0) + 0.75::DOUBLE * coalesce(k, 0)) / c AS g FROM states LEFT JOIN mass USING (h)),
+scored AS (
+  SELECT t.r, t.doc_id, t.held, coalesce(u.c, 0) AS c, (coalesce(u.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS base, x.c AS hc, x.g, p.c AS pc, n
+  FROM tokens t CROSS JOIN total LEFT JOIN uni u ON u.w = t.w LEFT JOIN weights x ON x.h = t.h LEFT JOIN pairs p ON p.h = t.h AND p.w = t.w)
+SELECT any_value(doc_id) AS doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+  sum(log10(base)) AS base_score, sum(log10(CASE WHEN pc IS NOT NULL THEN (pc - 0.75::DOUBLE) / hc + g * base ELSE coalesce(g, 1) * base END)) AS score
+FROM scored GROUP BY r
+""",
+    "op12_conversation_trie": rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos FROM turns),
+counts AS (SELECT conv_id, count(*) AS n FROM placed GROUP BY conv_id),
+ids AS (SELECT a.conv_id, h, base, least(h, coalesce(b.n, 0)) AS taken
+  FROM (SELECT conv_id, conv_id - conv_id % 5 AS base, CAST({_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS BIGINT) AS h FROM counts) a LEFT JOIN counts b ON b.conv_id = base),
+rebuilt AS (
+  SELECT i.conv_id, taken + pos - h + 1 AS depth, digest, strlen(text) AS size FROM ids i JOIN placed p ON p.conv_id = i.conv_id AND pos >= h
+  UNION ALL SELECT i.conv_id, pos + 1, digest, strlen(text) FROM ids i JOIN placed p ON p.conv_id = base AND pos < h),
+prefixes AS (
+  SELECT conv_id, depth, size, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM rebuilt UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+nodes AS (SELECT key, depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n FROM prefixes GROUP BY key, depth),
+kids AS (SELECT left(key, CAST(64 * (depth - 1) AS BIGINT)) AS key, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (key)),
+below AS (
+  SELECT p.key, sum(CASE WHEN f.k = 0 THEN 1 ELSE 0 END) AS leaves, sum((f.n - 1) * f.size) AS saved
+  FROM full_nodes f JOIN prefixes p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.key),
+last_depth AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id),
+ends AS (SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest FROM prefixes JOIN last_depth USING (conv_id, depth) GROUP BY key)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, f.n AS n_convs, f.k AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM full_nodes f JOIN below USING (key) LEFT JOIN ends USING (key)
+LEFT JOIN nodes up ON f.depth > 0 AND up.key = left(f.key, CAST(64 * (f.depth - 1) AS BIGINT))
+""",
+    "op13_merkle_manifest": _merkle_sql(),
 }
