@@ -16,9 +16,13 @@ PRICE_NAMESPACE = "a1b2c3d4-e5f6-7890-abcd-ef1234567890"
 CORPUS_NAMESPACE = "c4e8f1a2-6b3d-4e5f-8a9c-0d1e2f3a4b5c"
 
 
+# The white space of Unicode.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank_to_null(c: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import with_rank
+
 PRICE_KEY = ["Geolocation", "Commodity", "Year", "Month"]
 
 
@@ -118,12 +120,6 @@ def trim_history(messages: DataFrame, limit: int = 10, size: int = 4000) -> Data
 
 def running_index(rows: DataFrame, order: list[str], name: str = "index") -> DataFrame:
     """Gapless 0-based index over all rows in order, without one task holding them: rows are sorted by
-    range, and each partition starts where the counts of those before it end."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
-    numbered = numbered.persist()  # both uses must see one partitioning
-    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return numbered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_start")).drop("_at", "_part", "_start")
+    range and stored, and each partition starts where the counts of those before it end. All columns are
+    stored, so leave out beforehand what is not wanted."""
+    return with_rank(rows, [], order, name)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .durable import stored
+from .records import split_records
 
 REQUIRED = ("text", "input", "source", "doc_id")
 OPTIONAL_STRINGS = ("content", "url", "title", "filename")
@@ -59,32 +61,40 @@ def duplicate_ids(checked: DataFrame) -> DataFrame:
     return checked.filter("doc_id is not null").groupBy("source_id", "doc_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def smallest(rows: DataFrame, group: str, order: list[str], value: str, k: int, name: str) -> DataFrame:
+    """``group, name``: the ``value`` of the first ``k`` rows of each group in order, as an array. Spark
+    keeps each task's first rows before it shuffles them, so no group is ever gathered whole."""
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    first = rows.select(group, *dict.fromkeys([*order, value])).withColumn("_nth", nth).filter(F.col("_nth") <= k)
+    return first.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("_nth", value))), lambda x: x[value]).alias(name))
+
+
 def file_reports(lines: DataFrame, registry: DataFrame, quality: bool = False, strict: bool = False, empty_ratio: float = 0.05) -> DataFrame:
-    """One row per registered source: status, records, line counts, errors and duplicate ids.
+    """One row per registered source: status, records, line counts, errors, warnings and duplicate ids.
 
-    ``lines(source_id, line_no, line)`` are physical lines, ``registry(source_id, path, min_chars)``.
-    A source without lines is skipped, or failed if ``strict``. All errors are counted; the first 50 by
-    line and 20 duplicate ids are shown, and ``more_duplicates`` says how many ids are not.
+    ``lines(source_id, line_no, line)`` are physical lines, ``registry(source_id, path, min_chars)``. A
+    record may be split over lines: it counts as one, with a warning, and errors name its first line.
+    A source without lines is skipped, or failed if ``strict``; one of blank lines only fails. All
+    errors are counted; the first 50 by line, 50 warnings and 20 duplicate ids are shown, and
+    ``more_duplicates`` says how many ids are not.
     """
     blank = F.coalesce(strip(F.col("line")), F.lit("")) == ""
+    known = lines.join(registry.select("source_id"), "source_id", "left_semi")
+    records = split_records(known, "source_id").withColumnsRenamed({"start_line": "line_no", "record": "line"})
     least = F.col("min_chars") if quality else F.lit(0)
-    joined = lines.join(registry.select("source_id", "min_chars"), "source_id")
-    checked = record_errors(joined.filter(~blank), least)
-    counts = joined.groupBy("source_id").agg(F.count("*").alias("physical_lines"), F.count_if(blank).alias("empty_lines"))
+    checked = stored(record_errors(records.join(registry.select("source_id", "min_chars"), "source_id"), least).select("source_id", "line_no", "end_line", "errors", "doc_id"), "checked")
+    counts = known.groupBy("source_id").agg(F.count("*").alias("physical_lines"), F.count_if(blank).alias("empty_lines"))
+    found = checked.groupBy("source_id").agg(F.count("*").alias("records"), F.count_if(F.col("end_line") > F.col("line_no")).alias("split_records"), F.sum(F.size("errors")).alias("error_count"))
     listed = checked.select("source_id", "line_no", F.explode("errors").alias("error"))
-    errors = listed.groupBy("source_id").agg(
-        F.count("*").alias("error_count"),
-        F.min_by("error", F.struct("line_no", "error")).alias("first_error"),
-    )
-    # Spark keeps each task's first rows of a source before it shuffles them.
-    nth = F.row_number().over(Window.partitionBy("source_id").orderBy("line_no", "error"))
-    shown = listed.withColumn("nth", nth).filter(F.col("nth") <= SHOWN_ERRORS).groupBy("source_id")
-    shown = shown.agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "error"))), lambda x: x.error).alias("errors"))
-    errors = errors.join(shown, "source_id")
-    records = checked.groupBy("source_id").agg(F.count("*").alias("records"))
-    twice = duplicate_ids(checked).groupBy("source_id").agg(F.count("*").alias("duplicates"), F.slice(F.sort_array(F.collect_list("doc_id")), 1, SHOWN_IDS).alias("duplicate_doc_ids"))
-    out = registry.join(counts, "source_id", "left").join(records, "source_id", "left").join(errors, "source_id", "left").join(twice, "source_id", "left")
-    out = out.na.fill(0, ["records", "physical_lines", "empty_lines", "error_count", "duplicates"])
+    shown = smallest(listed, "source_id", ["line_no", "error"], "error", SHOWN_ERRORS, "errors")
+    spans = F.format_string("Line %d: record spans physical lines %d-%d", "line_no", "line_no", "end_line")
+    warned = smallest(checked.filter("end_line > line_no").withColumn("warning", spans), "source_id", ["line_no"], "warning", SHOWN_ERRORS, "_spans")
+    ids = duplicate_ids(checked)
+    twice = ids.groupBy("source_id").agg(F.count("*").alias("duplicates")).join(smallest(ids, "source_id", ["doc_id"], "doc_id", SHOWN_IDS, "duplicate_doc_ids"), "source_id")
+    out = registry
+    for part in (counts, found, shown, warned, twice):
+        out = out.join(part, "source_id", "left")
+    out = out.na.fill(0, ["records", "split_records", "physical_lines", "empty_lines", "error_count", "duplicates"])
     missing = F.col("physical_lines") == 0
     ratio = F.col("empty_lines") / F.greatest(F.lit(1), F.col("physical_lines"))
     bad = (F.col("records") == 0) | (F.col("error_count") > 0)
@@ -92,4 +102,43 @@ def file_reports(lines: DataFrame, registry: DataFrame, quality: bool = False, s
         bad = bad | (F.col("duplicates") > 0) | (ratio > empty_ratio)
     more = F.greatest(F.lit(0), F.col("duplicates") - SHOWN_IDS)
     status = F.when(missing, F.lit("failed" if strict else "skipped")).when(bad, "failed").otherwise("ok")
-    return out.select("source_id", "path", status.alias("status"), "records", "physical_lines", "empty_lines", F.round(100 * ratio, 2).alias("empty_percent"), "error_count", "first_error", "errors", "duplicates", "duplicate_doc_ids", more.alias("more_duplicates"))
+    filled = F.col("physical_lines") - F.col("empty_lines")
+    uneven = F.when(filled != F.col("records"), F.format_string("%d lines that are not empty hold %d records", filled, "records"))
+    warnings = F.filter(F.concat(F.coalesce("_spans", F.array().cast("array<string>")), F.array(uneven)), lambda x: x.isNotNull())
+    return out.select(
+        "source_id", "path", status.alias("status"), "records", "split_records", "physical_lines", "empty_lines", F.round(100 * ratio, 2).alias("empty_percent"),
+        "error_count", F.get("errors", F.lit(0)).alias("first_error"), "errors", warnings.alias("warnings"), "duplicates", "duplicate_doc_ids", more.alias("more_duplicates"),
+    )
+
+
+def report_payload(reports: DataFrame, quality: bool = False, strict: bool = False) -> DataFrame:
+    """The reports as one JSON document a row, ``source_id, payload``, for ``write_json``."""
+    empty = F.array().cast("array<string>")
+    listed = [F.coalesce(c, empty).alias(c) for c in ("errors", "warnings", "duplicate_doc_ids")]
+    fields = F.struct("source_id", "path", "status", "records", "physical_lines", "empty_lines", *listed, F.lit(quality).alias("quality_checks"), F.lit(strict).alias("strict"))
+    return reports.select("source_id", F.to_json(fields).alias("payload"))
+
+
+def exit_status(reports: DataFrame, strict: bool = False) -> int:
+    """1 if a source failed, or was skipped under ``strict``, else 0."""
+    bad = ["failed", "skipped"] if strict else ["failed"]
+    return int(reports.filter(F.col("status").isin(*bad)).limit(1).count())
+
+
+def job_outcomes(reports: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``jobs(job, nth, source_id, optional)``, the sources that each job makes in order -> one row a job:
+    ``job, passed, checked, failed, summary``. A missing source fails its job unless it is optional. The
+    summary is one line on the first source that is not fine. A job without sources passes."""
+    status = F.coalesce("status", F.lit("skipped"))
+    gone = (status == "skipped") & F.col("optional")
+    ok = (status == "ok") | gone
+    said = F.coalesce("first_error", F.when(status == "skipped", "no file"), F.when(F.col("duplicates") > 0, F.concat(F.col("duplicates").cast("string"), F.lit(" duplicate ids"))), status)
+    line = F.concat(F.lit("Corpus validation failed: "), "source_id", F.lit(": "), said)
+    rows = jobs.join(reports.select("source_id", "status", "first_error", "duplicates"), "source_id", "left").withColumns({"_ok": F.col("source_id").isNull() | ok, "_gone": gone, "_line": line})
+    out = rows.groupBy("job").agg(
+        F.bool_and("_ok").alias("passed"),
+        F.count_if(F.col("source_id").isNotNull() & ~F.col("_gone")).alias("checked"),
+        F.count_if(~F.col("_ok")).alias("failed"),
+        F.min_by("_line", F.when(~F.col("_ok"), F.col("nth"))).alias("summary"),
+    )
+    return out.withColumn("summary", F.coalesce("summary", F.lit("")))

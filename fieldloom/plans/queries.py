@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +17,8 @@ from ..operators import reshape as R
 from ..operators import search as S
 from ..operators import summary as A
 from ..operators import validate as V
+from ..operators.durable import new_path as scratch
+from ..operators.durable import stored
 from ..operators.filters import PriceFilter, YieldFilter, page_of
 from ..operators.normalize import corpus_payload, tag_source
 from ..sources.sinks import export_rows
@@ -41,22 +41,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 MEAN_PRICE = "(2 * sum(CAST(round(price_php_per_kg * 100) AS BIGINT)) + count(price_php_per_kg)) // (2 * count(price_php_per_kg)) / 100.0"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again, for plans that use it many times."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 PRICE_SUMS = f"""count(*) AS row_count, count(price_php_per_kg) AS priced_row_count, coalesce({MEAN_PRICE}, 0.0) AS avg_price,
   min(price_php_per_kg) AS min_price, max(price_php_per_kg) AS max_price"""
 
@@ -203,7 +190,7 @@ def yield_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
   || '_' || "year" || '_' || lower("month") || '_' || i AS doc_id FROM n"""
 )
 def price_record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.running_index(views.prices(spark, sf_dir).drop("source"), ["seq"])
+    rows = M.running_index(views.prices(spark, sf_dir).select("seq", "geolocation", "commodity_type", "commodity", "year", "month"), ["seq"])
     return rows.select("index", passages.price_doc_id(F.col("index")).alias("doc_id"))
 
 
@@ -249,22 +236,47 @@ def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.duplicate_ids(table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.md5("text").alias("doc_id")))
 
 
-@query(
-    r"""WITH d AS (SELECT source, doc_id % 10 = 0 AS gap, length(trim(text, e' \n\t\r')) < 100 AS short, doc_id % 97 = 0 AS bad FROM documents),
-  s AS (SELECT source AS source_id, count(*) AS records, count(*) + count(*) FILTER (WHERE gap) AS physical_lines, count(*) FILTER (WHERE gap) AS gaps, count(*) FILTER (WHERE short) + count(*) FILTER (WHERE bad) AS error_count FROM d GROUP BY source)
-  SELECT source_id, CASE WHEN error_count > 0 OR gaps * 1.0 / physical_lines > 0.05 THEN 'failed' ELSE 'ok' END AS status, records, physical_lines, error_count FROM s"""
-)
-def corpus_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as JSON lines: each tenth followed by an empty line, each 97th with a number as doc_id."""
+REPORTS = r"""d AS (SELECT source, doc_id % 10 = 0 AS gap, doc_id % 13 < 2 AS cut, length(trim(text, e' \n\t\r')) < 100 AS short, doc_id % 97 = 0 AS bad FROM documents),
+  s AS (SELECT source AS source_id, count(*) AS records, count(*) + count(*) FILTER (WHERE gap) + count(*) FILTER (WHERE cut) AS physical_lines, count(*) FILTER (WHERE gap) AS gaps,
+    count(*) FILTER (WHERE cut) AS split_records, count(*) FILTER (WHERE short) + count(*) FILTER (WHERE bad) AS error_count FROM d GROUP BY source),
+  r AS (SELECT source_id, CASE WHEN error_count > 0 OR gaps * 1.0 / physical_lines > 0.05 THEN 'failed' ELSE 'ok' END AS status, records, physical_lines, split_records, error_count FROM s)"""
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines: each tenth is followed by an empty line, each 97th has a number as doc_id;
+    of thirteen one is split before its first string and one within its last value."""
     docs = table(spark, sf_dir, "documents")
-    ident = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    record = F.struct("text", F.col("text").alias("input"), "source", ident.alias("doc_id"))
-    broken = F.struct("text", F.col("text").alias("input"), "source", F.col("doc_id"))
-    line = F.when(F.col("doc_id") % 97 == 0, F.to_json(broken)).otherwise(F.to_json(record))
-    rows = docs.select(F.col("source").alias("source_id"), F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 10 == 0, F.array(line, F.lit(""))).otherwise(F.array(line)).alias("l"))
-    lines = rows.select("source_id", "line_no", F.explode("l").alias("line"))
+    n = F.col("doc_id")
+    ident = F.when(n % 97 != 0, F.concat(F.lit('"d'), n.cast("string"), F.lit('"'))).otherwise(n.cast("string"))
+    head = F.to_json(F.struct("text", F.col("text").alias("input"), "source"))
+    line = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"doc_id":'), ident, F.lit("}"))
+    at = F.when(n % 13 == 0, 8).otherwise(F.length(line) - 3)
+    pieces = F.when(n % 13 < 2, F.array(F.substr(line, F.lit(1), at), F.substr(line, at + 1, F.length(line)))).otherwise(F.array(line))
+    pieces = F.when(n % 10 == 0, F.concat(pieces, F.array(F.lit("")))).otherwise(pieces)
+    lines = docs.select(F.col("source").alias("source_id"), n.alias("_n"), F.posexplode(pieces).alias("_i", "line"))
+    lines = lines.select("source_id", (F.col("_n") * 3 + F.col("_i")).alias("line_no"), "line")
     registry = docs.select(F.col("source").alias("source_id"), F.concat("source", F.lit(".jsonl")).alias("path"), F.lit(100).alias("min_chars")).distinct()
-    return V.file_reports(lines, registry, quality=True).select("source_id", "status", "records", "physical_lines", "error_count")
+    return V.file_reports(lines, registry, quality=True)
+
+
+@query(f"WITH {REPORTS} SELECT source_id, status, records, physical_lines, split_records, error_count FROM r")
+def corpus_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir).select("source_id", "status", "records", "physical_lines", "split_records", "error_count")
+
+
+@query(
+    f"""WITH {REPORTS}, j AS (SELECT DISTINCT 'job' || CAST(CAST(substr(source, 4) AS BIGINT) % 5 AS VARCHAR) AS job, source FROM documents
+    UNION ALL SELECT 'job' || i, 'none' || i FROM range(5) t(i))
+  SELECT job, bool_and(coalesce(status = 'ok', job <> 'job3')) AS passed, count(status) + CASE WHEN job = 'job3' THEN 1 ELSE 0 END AS checked,
+    count(*) FILTER (WHERE status = 'failed') + CASE WHEN job = 'job3' THEN 1 ELSE 0 END AS failed FROM j LEFT JOIN r ON source = source_id GROUP BY job"""
+)
+def job_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five jobs with the sources of documents, and one source each that is missing and, but for one job, optional."""
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    number = F.substring("source", 4, 9).cast("long")
+    jobs = sources.select(F.concat(F.lit("job"), (number % 5).cast("string")).alias("job"), number.alias("nth"), F.col("source").alias("source_id"), F.lit(False).alias("optional"))
+    more = spark.range(5).select(F.concat(F.lit("job"), F.col("id").cast("string")).alias("job"), F.lit(1 << 40).alias("nth"), F.concat(F.lit("none"), F.col("id").cast("string")).alias("source_id"), (F.col("id") != 3).alias("optional"))
+    return V.job_outcomes(_reports(spark, sf_dir), jobs.unionByName(more)).select("job", "passed", "checked", "failed")
 
 
 @query(

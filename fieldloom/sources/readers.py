@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import parse_article
+from ..operators.durable import joined_to_parts, starts_of, stored
 from ..operators.merge import concat_frames
 from ..operators.normalize import normalize_prices, normalize_yields
+from ..operators.records import split_records
 
 YIELD_COLUMNS = ("Year", "Semester", "Region", "Province", "Municipality", "Average Yield (ton/ha)", "Date and time of Scraping")
 RECORD_FIELDS = "text string, input string, content string, source string, doc_id string, url string, title string, filename string, page string"
@@ -50,50 +51,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD_FIELDS) -> D
 
 def read_split_jsonl(lines: DataFrame) -> DataFrame:
     """``lines(file, line_no, line)`` -> ``file, start_line, end_line, record`` of records that may span
-    several physical lines: a record begins at a line that starts with ``{``, and its stripped lines
-    are joined. Files with groups that still don't parse are repaired line by line, in a helper that
-    holds one such file; a record without an end is an error.
-    """
-    rows = lines.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).filter("line != ''")
-    groups = F.sum(F.col("line").startswith("{").cast("int")).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    joined = rows.withColumn("g", groups).groupBy("file", "g").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    joined = joined.select(
-        "file",
-        F.element_at("l", 1).line_no.alias("start_line"),
-        F.element_at("l", -1).line_no.alias("end_line"),
-        F.array_join(F.transform("l", lambda x: x.line), "").alias("record"),
-    )
-    broken = joined.filter(F.try_parse_json("record").isNull()).select("file").distinct()
-    fine = joined.join(broken, "file", "left_anti")
-    return fine.unionByName(rows.select("file", "line_no", "line").join(broken, "file", "left_semi").groupBy("file").applyInPandas(_repair, "file string, start_line long, end_line long, record string"))
-
-
-def _repair(pdf: pd.DataFrame) -> pd.DataFrame:
-    import json
-
-    pdf = pdf.sort_values("line_no")
-    out, held, start = [], "", None
-    texts, numbers = pdf["line"].tolist(), pdf["line_no"].tolist()
-    for i, (text, n) in enumerate(zip(texts, numbers, strict=True)):
-        held, start = held + text, n if start is None else start
-        if i + 1 < len(texts) and not texts[i + 1].startswith("{"):
-            continue
-        try:
-            json.loads(held)
-        except ValueError:
-            continue
-        out.append((pdf["file"].iloc[0], start, n, held))
-        held, start = "", None
-    if held:
-        raise ValueError(f"{pdf['file'].iloc[0]}: record from line {start} has no end")
-    return pd.DataFrame(out, columns=["file", "start_line", "end_line", "record"])
+    several physical lines (``operators.records``)."""
+    return split_records(lines)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, line`` of text files, numbered from 1 in each: a file's offset in its split
-    would not do, so whole files are split into lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("i", "line")).select("file", (F.col("i") + 1).cast("long").alias("line_no"), "line")
+    """``file, line_no, line`` of text files, numbered from 1 in each; a file that ends with a line feed
+    has an empty last line. Files are read in splits: each split's lines are counted, and its first
+    number is what the counts before it leave."""
+    raw = spark.read.text(path, lineSep="\n")
+    at = F.monotonically_increasing_id().alias("_at")  # rises within a split
+    meta = F.col("_metadata")
+    rows = stored(raw.select(meta.file_path.alias("file"), meta.file_block_start.alias("_part"), meta.file_size.alias("_size"), F.col("value").alias("line"), at), "lines")
+    counts = rows.groupBy("file", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), F.sum(F.octet_length("line") + 1).alias("_bytes"), F.first("_size").alias("_size"))
+    starts = joined_to_parts(starts_of(counts, ["file"], "_n", "_before"), counts.select("file", "_part", "_first"), ["file"])
+    numbered = joined_to_parts(rows.select("file", "_part", "_at", "line"), starts, ["file"])
+    numbered = numbered.select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "line")
+    ends = counts.groupBy("file").agg(F.sum("_n").alias("n"), F.sum("_bytes").alias("bytes"), F.first("_size").alias("size"))
+    return numbered.unionByName(ends.filter("bytes = size").select("file", (F.col("n") + 1).alias("line_no"), F.lit("").alias("line")))
 
 
 def read_corpora(spark: SparkSession, registry: list[CorpusSource], only: str | None = None) -> tuple[DataFrame | None, list[str]]:
