@@ -1,11 +1,11 @@
 """Language-model scores by a weighted backoff automaton.
 
-A corpus has more n-grams than a task can hold, so every bucket of texts (about a million tokens) gets
+A corpus has more n-grams than a task can hold, so every bucket of texts (about 600,000 tokens) gets
 the part of the automaton that its texts can reach. Counts and ids come level by level: the buckets ask
 for their distinct words, then for the pairs (state, word) whose two shorter parts are states, and the
 tasks that share these keys by hash add the counts up and answer each bucket in the order of its own
 keys, so that no key travels back. With these answers a bucket builds its states and arcs, and walks
-each text once from left to right.
+its texts once from left to right.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from .neardup import _groups
 from .shared import discard, materialize, partitions
 from .textkit import U64, WordHashes, mix, utf8
 
-BUCKET = 1_000_000  #: tokens of a bucket
+BUCKET = 600_000  #: tokens of a bucket
+STRETCH = 256  #: tokens of a text that one lane walks over
 SHARE = 2_000_000  #: tokens for each task that adds up counts
 PIECE = 4 << 20  #: bytes of a text that are split into words at a time
 BEGIN, END = b"begin of text", b"end of text"  #: no words: words hold no space
@@ -141,7 +142,7 @@ class Bucket:
         u, inverse = np.unique(last["local"][at - 1] * v + self.t[at], return_inverse=True)
         h, w = last["ids"][u // v], words["ids"][u % v]
         p = (mix(h.astype(U64) * U64(0x9E3779B97F4A7C15) + mix(w.astype(U64))) % U64(self.parts)).astype(np.int64)
-        order = np.lexsort((w, h, p))
+        order = np.lexsort((h, p))  # words of a state stay in their order here
         rank = np.empty(len(u), np.int64)
         rank[order] = np.arange(len(u))
         mine = rank[inverse]
@@ -153,14 +154,15 @@ class Bucket:
 
     def scores(self, discount: float, n_train: int, n_words: int) -> tuple[list, list, list, list]:
         """Of each text: tokens, known tokens, base score, score."""
-        t, v, top = self.t, len(self.levels[0]["ids"]), len(self.levels)
+        v, top = len(self.levels[0]["ids"]), len(self.levels)
         count = self.levels[0]["counts"]
         base = np.log10((count + MARGIN) / (n_train + MARGIN * (n_words + 1)))
         shift = np.cumsum([1, *(len(x["ids"]) for x in self.levels)])
-        # A state is a kept n-gram of fewer than `top` words; 0 is the empty one.
+        # A state is a kept n-gram of fewer than `top` words; 0 is the empty one, which has an arc for every word.
         state = lambda j, local: int(shift[j]) + local
-        keys, nexts, weights = [np.arange(v)], [np.where(self.levels[0]["ids"] > 0, state(0, np.arange(v)), 0) if top > 1 else np.zeros(v, np.int64)], [base]
-        fail, back = [np.zeros(1 + v, np.int64)], [np.r_[0.0, np.log10(self.levels[0]["gamma"]) if top > 1 else np.zeros(v)]]
+        first = np.where((self.levels[0]["ids"] > 0) & (top > 1), state(0, np.arange(v)), 0)
+        keys, to, gain = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        fail, fall = [np.zeros(1 + v, np.int64)], [np.r_[0.0, np.log10(self.levels[0]["gamma"]) if top > 1 else np.zeros(v)]]
         chance = 10.0**base
         for j in range(1, top):
             low, x = self.levels[j - 1], self.levels[j]
@@ -169,43 +171,70 @@ class Bucket:
             head, tail = low["local"][rep - 1], low["local"][rep]
             here = np.zeros(len(x["ids"]))
             here[kept] = (x["counts"][kept] - discount) / low["counts"][head] + low["gamma"][head] * chance[tail]
-            keys.append(state(j - 1, head) * v + t[rep])
-            weights.append(np.log10(here[kept]))
+            keys.append(state(j - 1, head) * v + self.t[rep])
+            gain.append(np.log10(here[kept]))
             if j < top - 1:
-                nexts.append(state(j, kept))
+                to.append(state(j, kept))
                 down, weight = np.zeros(len(x["ids"]), np.int64), np.zeros(len(x["ids"]))
                 down[kept], weight[kept] = state(j - 1, tail), np.log10(x["gamma"][kept])
                 fail.append(down)
-                back.append(weight)
+                fall.append(weight)
             else:
-                nexts.append(state(j - 1, tail))
+                to.append(state(j - 1, tail))
             chance = here
-        arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys))), strict=True))
-        find, to, gain = arcs.get, np.concatenate(nexts).tolist(), np.concatenate(weights).tolist()
-        fails, falls = np.concatenate(fail).tolist(), np.concatenate(back).tolist()
-        known = np.r_[0, np.cumsum(count[t] > 0)]
-        words = t.tolist()
-        n, n_known, base_score, score = [], [], [], []
-        for a, e in zip(self.scored.tolist(), self.ends.tolist(), strict=True):
-            s = 0
-            for j in range(top - 2, -1, -1):
-                if self.levels[j]["local"][a - 1] >= 0:
-                    s = state(j, int(self.levels[j]["local"][a - 1]))
+        keys, to, gain = (np.concatenate(c) for c in (keys, to, gain))
+        order = np.argsort(keys)
+        total = self.walk(keys[order], to[order], gain[order], np.concatenate(fail), np.concatenate(fall), first, base, top)
+        of = np.repeat(np.arange(len(self.ends)), self.ends - self.scored)
+        at = np.concatenate([np.arange(a, e) for a, e in zip(self.scored.tolist(), self.ends.tolist(), strict=True)]) if len(of) else of
+        n_known, base_score = (np.bincount(of, c[self.t[at]], len(self.ends)) for c in (count > 0, base))
+        return (self.ends - self.scored).tolist(), n_known.astype(np.int64).tolist(), base_score.tolist(), total.tolist()
+
+    def walk(self, keys, to, gain, fail, fall, first, base, top: int) -> np.ndarray:
+        """One pass from left to right over all texts side by side, each carrying its state: where a
+        state has no arc for the next word, its failure arc is taken and weighed until one has.
+
+        Texts are cut into stretches, so that they are of like length. A stretch begins in the empty
+        state with the ``top - 1`` tokens before it, whose weights don't count: they lead to the state
+        that the walk up to there is in, for a state is its last tokens."""
+        spans = []
+        for i, (s, a, e) in enumerate(zip(self.starts.tolist(), self.scored.tolist(), self.ends.tolist(), strict=True)):
+            spans += [(i, max(s, x - max(1, top - 1)), x, min(x + STRETCH, e)) for x in range(a, e, STRETCH)]
+        total = np.zeros(len(self.ends))
+        if not spans:
+            return total
+        text, begin, since, end = np.array(spans, np.int64).T
+        order = np.argsort(begin - end, kind="stable")  # the longest first: those still under way are a prefix
+        text, begin, since, size = text[order], begin[order], since[order], (end - begin)[order]
+        now, sums = np.zeros(len(text), np.int64), np.zeros(len(text))
+        v = len(base)
+        for step in range(int(size[0])):
+            m = int(np.searchsorted(-size, -step))
+            at = begin[:m] + step
+            w, s, counts = self.t[at], now[:m], at >= since[:m]
+            weight, nexts = np.zeros(m), np.zeros(m, np.int64)
+            left = np.arange(m)
+            while len(left):
+                here, word = s[left], w[left]
+                root = here == 0
+                done = left[root]
+                weight[done] += base[word[root]]
+                nexts[done] = first[word[root]]
+                left, here, word = left[~root], here[~root], word[~root]
+                if not len(left):
                     break
-            total = 0.0
-            for w in words[a:e]:
-                arc = find(s * v + w)
-                while arc is None:
-                    total += falls[s]
-                    s = fails[s]
-                    arc = find(s * v + w)
-                total += gain[arc]
-                s = to[arc]
-            n.append(e - a)
-            n_known.append(int(known[e] - known[a]))
-            base_score.append(float(base[t[a:e]].sum()))
-            score.append(total)
-        return n, n_known, base_score, score
+                i = np.searchsorted(keys, here * v + word)
+                hit = np.zeros(len(left), bool)
+                inside = i < len(keys)
+                hit[inside] = keys[i[inside]] == (here * v + word)[inside]
+                weight[left[hit]] += gain[i[hit]]
+                nexts[left[hit]] = to[i[hit]]
+                left, here = left[~hit], here[~hit]
+                weight[left] += fall[here]
+                s[left] = fail[here]
+            now[:m] = nexts
+            sums[:m] += np.where(counts, weight, 0.0)
+        return np.bincount(text, sums, len(self.ends))
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -365,7 +394,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.75, leas
     where g(h), the weight of the failure arc from h to h', is what the kept n-grams leave of 1, so the
     chances of all words after any state add up to 1. The text's begin is a state, not a token.
 
-    Buckets of a million tokens hold a long text in parts that go on where the last one ended; words
+    Buckets of 600,000 tokens hold a long text in parts that go on where the last one ended; words
     and states are shared out by hash, each bucket asking once for each, so frequent ones are no hot
     keys. All counts cover all texts. Null text: empty, one token. A null id is not held out. Repeated
     rows are scored (and counted) one by one; an empty table gives an empty result. Other columns are
