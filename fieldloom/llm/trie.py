@@ -291,7 +291,9 @@ def conversation_trie(turns: DataFrame, width: int = TURNS) -> DataFrame:
     while True:
         last = bool(made) and n_items <= BLOCK
         keyed = bool(made)
-        spread = items.coalesce(1).sortWithinPartitions("path") if last else items.repartitionByRange(partitions(items), "path").sortWithinPartitions("path")
+        # Beyond the first forest, as few tasks as fill their blocks, so that each forest is smaller.
+        tasks = 1 if last else max(1, n_items // BLOCK) if made else partitions(items)
+        spread = items.repartitionByRange(tasks, "path").sortWithinPartitions("path")
         grown = materialize(spread.mapInArrow(_blocks(last, keyed, BLOCK), NODES), "nodes")
         made.append(grown.filter("depth IS NOT NULL"))
         if last:
