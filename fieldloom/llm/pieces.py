@@ -144,12 +144,12 @@ def encode_pieces(docs: DataFrame, path: str | None = None, text_col: str = "tex
     segmentation of the best total rank. ``path``: None for the public 32k vocabulary.
 
     Null text stays null, an empty one has no pieces. Repeated rows each get their pieces; an empty
-    table gives an empty result. A column that is called ``pieces`` (or ``decoded``) is replaced; all
-    other names are free.
+    table gives an empty result. A column that is called ``pieces`` (or ``decoded``), in any case, is
+    replaced; all other names are free.
     """
     new = ["pieces", "decoded"] if decoded else ["pieces"]
-    names = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    inner = spare("text", names)
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    inner = spare("text", [*names, *new])
     source = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias(inner))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != inner] + ["pieces binary", "decoded string"][: len(new)])
 
@@ -172,8 +172,8 @@ def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Adds ``decoded``, the text that ``pieces`` stand for; null stays null, no pieces are the empty
     text, bytes that are no UTF-8 become replacement characters. Repeated rows and an empty table
     stay as they are; a column that is called ``decoded`` is replaced."""
-    names = [c for c in encoded.columns if c != "decoded"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded"] + ["decoded string"])
+    names = [c for c in encoded.columns if c.lower() != "decoded"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name.lower() != "decoded"] + ["decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table(path)

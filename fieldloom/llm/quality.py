@@ -14,6 +14,7 @@ from .shared import materialize, spare
 from .textkit import WordHashes, shingles, utf8
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICT = ("distance", "base_failed", "kept")
 DIMS = ("x_length", "x_word", "x_symbols", "x_lines", "x_repeats")
 #: Standard deviation, in each dimension, that even a group of identical texts is given.
 LEAST_SD = (0.5, 0.35, 0.5, 0.4, 0.1)
@@ -56,8 +57,8 @@ def text_stats(text: str | None, cache: WordHashes) -> tuple[int, int, int, int,
 def with_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` and the five statistics, which replace columns of their names. Null
     and empty texts have none of anything; repeated rows each get theirs; an empty table stays empty."""
-    keep = [c for c in keep if c not in STATS]
-    inner = spare("text", keep)
+    keep = [c for c in keep if c.lower() not in STATS]
+    inner = spare("text", [*keep, *STATS])
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(inner))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != inner] + [f"{c} long" for c in STATS])
 
@@ -216,7 +217,8 @@ def fit_outliers(
     have the floor ``LEAST_SD`` (a regularised determinant, as many texts agree in a statistic). The
     estimate holds while less than 1 - ``share`` of a key's rows are contaminated.
     """
-    vectors = _vectors(stats, lang_col, source_col).select("_keys", *DIMS)
+    vectors = stats.select(*STATS, F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{source_col}`").alias("_source"))
+    vectors = _vectors(vectors, "_lang", "_source").select("_keys", *DIMS)
     needed = materialize(_needed(vectors, least_rows), "keys")
     n_keys = needed.count()
     rows = materialize(vectors.select(F.explode("_keys").alias("key"), *DIMS).join(_sized(needed, n_keys), "key"), "vectors")
@@ -255,28 +257,32 @@ def judge(stats: DataFrame, fits: DataFrame, quantile: float = 1 - 1e-5, lang_co
     kept: not base_failed, and the squared distance is within the chi-squared ``quantile``.
     """
     cut = _chi2_quantile(quantile, P)
-    rows = _vectors(stats, lang_col, source_col)
+    # The given columns travel as one, so that none can be taken for one of those below.
+    whole = F.struct(*(F.col(f"`{c}`") for c in stats.columns)).alias("_row")
+    rows = stats.select(whole, *STATS, F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{source_col}`").alias("_source"))
+    rows = _vectors(rows, "_lang", "_source")
     names = [c for c in fits.columns if c != "key"]
     n_fits = fits.count()
     for level, kind in enumerate("slg"):
         part = fits.filter(F.col("key").startswith(kind)).select(F.col("key").alias(f"_k{level}"), *(F.col(c).alias(f"{c}_{level}") for c in names))
         rows = rows.join(_sized(part, n_fits), F.col("_keys")[level] == F.col(f"_k{level}"), "left")
     pick = lambda c: F.when(F.col("_k0").isNotNull(), F.col(f"{c}_0")).when(F.col("_k1").isNotNull(), F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
-    rows = rows.select(*stats.columns, *DIMS, *(pick(c).alias(c) for c in names))
+    rows = rows.select("_row", *STATS, *DIMS, *(pick(c).alias(c) for c in names))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     distance = F.coalesce(_distance(), F.lit(0.0))
-    return rows.select(*stats.columns, distance.alias("distance"), failed.alias("base_failed"), (~failed & (distance <= cut)).alias("kept"))
+    given = [F.col("_row")[c].alias(c) for c in stats.columns if c.lower() not in VERDICT]
+    return rows.select(*given, distance.alias("distance"), failed.alias("base_failed"), (~failed & (distance <= cut)).alias("kept"))
 
 
 def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``docs`` with statistics, distance, base_failed and kept (see ``fit_outliers`` and ``judge``).
 
-    The statistics are computed twice, once to fit and once beside the rows, so that no text is ever
-    shuffled. Null text: no words, so base_failed. Null language or source: a group of its own. An
-    empty table gives an empty result; repeated rows each count and each get a result. Columns of
-    ``docs`` named like the statistics are replaced.
+    The statistics are computed twice, once to fit and once beside the rows, so that texts are shuffled
+    only where estimates are too many to be broadcast. Null text: no words, so base_failed. Null
+    language or source: a group of its own. An empty table gives an empty result; repeated rows each
+    count and each get a result. Columns of ``docs`` named like those that are added, in any case, are
+    replaced; all others stay.
     """
-    own = {*STATS, "distance", "base_failed", "kept", *DIMS, "_keys"}
-    plain = docs.select(*(c for c in docs.columns if c not in own))
+    plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*STATS, *VERDICT)))
     fits = fit_outliers(materialize(with_stats(plain, [lang_col, source_col], text_col), "stats"), lang_col, source_col, SHARE)
     return judge(with_stats(plain, plain.columns, text_col), fits, lang_col=lang_col, source_col=source_col)

@@ -211,13 +211,13 @@ FROM whole JOIN formatted ON whole.conv_id IS NOT DISTINCT FROM formatted.conv_i
 """,
     "op9_vantage_point_trees": r"""
 WITH v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 p AS (
-  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_cosine_similarity(q.x, v.x) AS score
-  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.x) = len(v.x) WHERE q.vec_id % 50 = 0)
+  SELECT q.r AS query_row, q.vec_id AS query_id, v.vec_id AS vec_id, list_cosine_similarity(q.x, v.x) AS score
+  FROM v q JOIN v ON q.r <> v.r AND len(q.x) = len(v.x) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p) WHERE r <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS r FROM p) WHERE r <= 5
 """,
     "op10_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (

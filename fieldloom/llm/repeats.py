@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .gsaca import suffix_array
 from .neardup import _groups
-from .shared import materialize, partitions
+from .shared import materialize, partitions, spare
 from .textkit import U64, mix, utf8
 
 GRAM = 64  #: bytes of an anchor
@@ -98,12 +98,44 @@ def _batch(held: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
 
-def _cut_windows(text_col: str):
+def _word_windows(words: int, below: int):
+    """Texts -> a hash of each stretch of ``words`` whole words that takes less than ``below`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = np.zeros(256, bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        names = ["h1", "h2", "k1", "k2", "pos", "size"]
+        for batch in batches:
+            held, count = [], 0
+            for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), strict=True):
+                b = utf8(text.as_py())
+                gap = np.r_[True, space[np.frombuffer(b, np.uint8)], True]
+                first, last = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+                if len(first) < words:
+                    continue
+                s, e = first[: len(first) - words + 1], last[words - 1 :]
+                dense = e - s < below
+                s, e = s[dense], e[dense]
+                for at in range(0, len(s), 50_000):
+                    x, y = s[at : at + 50_000], e[at : at + 50_000]
+                    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b[i:j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64).reshape(-1, 2)
+                    held.append((h[:, 0], h[:, 1], np.full(len(x), k1), np.full(len(x), k2), x, (y - x).astype(np.int32)))
+                    count += len(x)
+                    if count > 50_000:
+                        yield _batch(held, names)
+                        held, count = [], 0
+            if held:
+                yield _batch(held, names)
+
+    return run
+
+
+def _cut_windows():
     """Documents with their wanted anchors -> the bytes around each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, text, wanted in zip(*(batch.column(c) for c in ("_r_k1", "_r_k2", text_col, "wanted")), strict=True):
+            for k1, k2, text, wanted in zip(*(batch.column(c) for c in ("k1", "k2", "text", "wanted")), strict=True):
                 b = utf8(text.as_py())
                 rows = wanted.as_py()
                 for at in range(0, len(rows), 5000):
@@ -340,10 +372,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(out, SPAN_TYPE)], ["k1", "k2", "spans"])
 
 
-_REPEATS = "_r_repeats"
-
-
-def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", name: str = "repeats") -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", name: str = "repeats", words: int = 0) -> DataFrame:
     """``docs`` with ``repeats`` (or another ``name``), an array of (s, e): the maximal runs of UTF-8 bytes covered by strings
     of ``length`` bytes that also start anywhere else, in this document or another. Strings never
     cross documents, and are judged on the input.
@@ -354,15 +383,19 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     throughout, and the others' repeats are found by suffix arrays (``gsaca``). An anchor with very
     many different windows is narrowed to longer shared cores until each fits a task.
 
+    With ``words``, stretches of that many whole words that start elsewhere too count as well, though
+    they take less than ``length`` bytes; where words are that short, each stretch has a hash of its own.
+
     Null or short text: no repeats. Repeated rows are repeats of each other. An empty table gives an
-    empty result. All columns of ``docs`` stay, but one that is called ``name`` is replaced; names that
-    begin with ``_r_`` are reserved.
+    empty result. All columns of ``docs`` stay, but one that is called ``name``, in any case, is replaced.
     """
-    text, ident = F.col(text_col).cast("string"), F.col(id_col).cast("long")
-    keyed = docs.withColumns({"_r_k1": F.coalesce(ident, F.lit(-(2**63))), "_r_k2": F.xxhash64(text)})
+    text, ident = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    # The given columns travel as one, so that none can be taken for one of those below.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(whole, F.coalesce(ident, F.lit(-(2**63))).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    short = keyed.select(F.col("_r_k1").alias("k1"), F.col("_r_k2").alias("k2"), text.alias("text"))
+    short = keyed.select("k1", "k2", "text")
     rows = short.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "ah long, ch long, k1 long, k2 long, pos long, left int, size int")
     rows = materialize(rows, "anchors")
     # Counts per anchor and content come first, so that an anchor that stands very often is one row a
@@ -372,17 +405,23 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     several = one.groupBy("ah").agg(F.count("*").alias("m"), F.min("n").alias("least"))
     whole = one.filter("n > 1").select("ah", "ch", F.array(F.struct((-F.col("left")).alias("s"), (F.col("size") - F.col("left")).alias("e"))).alias("spans"))
     several = materialize(several.filter("m > 1 and least = 1").select("ah", "m"), "classes")
-    wanted = one.join(several.hint("merge"), "ah").groupBy(F.col("k1").alias("_r_k1"), F.col("k2").alias("_r_k2"))
+    wanted = one.join(several.hint("merge"), "ah").groupBy("k1", "k2")
     wanted = wanted.agg(F.collect_list(F.struct("ah", "ch", "n", "pos", "left", "size")).alias("wanted"))
-    with_text = keyed.select("_r_k1", "_r_k2", text_col).join(wanted.hint("merge"), ["_r_k1", "_r_k2"])
-    windows = with_text.mapInArrow(_cut_windows(text_col), WINDOWS)
+    # Of rows with equal id and text, one gives the windows; they lie side by side after the join.
+    with_text = short.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    windows = with_text.mapInArrow(_cut_windows(), WINDOWS)
     spans = whole.unionByName(_resolve(windows, several, length, 0))
-    pieces = rows.join(spans.hint("merge"), ["ah", "ch"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "spans")).alias("pieces"))
+    found = rows.join(spans.hint("merge"), ["ah", "ch"]).select("k1", "k2", "pos", "spans")
+    if words:
+        dense = materialize(short.mapInArrow(_word_windows(words, length), "h1 long, h2 long, k1 long, k2 long, pos long, size int"), "stretches")
+        twice = dense.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
+        again = dense.join(twice.hint("merge"), ["h1", "h2"], "left_semi")
+        found = found.unionByName(again.select("k1", "k2", "pos", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("spans")))
+    pieces = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "spans")).alias("pieces"))
     merged = pieces.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<s:int,e:int>>")
-    merged = merged.select(F.col("k1").alias("_r_k1"), F.col("k2").alias("_r_k2"), F.col("spans").alias("_r_spans"))
-    out = keyed.join(merged.hint("merge"), ["_r_k1", "_r_k2"], "left")
+    out = keyed.select("row", "k1", "k2").join(merged.hint("merge"), ["k1", "k2"], "left")
     empty = F.array().cast("array<struct<s:int,e:int>>")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != name), F.coalesce("_r_spans", empty).alias(name))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() != name.lower()), F.coalesce("spans", empty).alias(name))
 
 
 def kept_bytes(text: str | None, repeats: list) -> bytes:
@@ -409,16 +448,18 @@ def _of_words(text: str | None, repeats: list, least: int) -> list:
 
 def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", least_words: int = 0) -> DataFrame:
     """``docs`` with the repeats cut out of the text; a character of which a byte is cut goes whole.
-    Repeats of fewer than ``least_words`` words stay. Null text stays null, an empty or short one as it
+    Repeats of fewer than ``least_words`` words stay, and those of as many whole words go, however few
+    bytes they take. Null text stays null, an empty or short one as it
     is; repeated rows are repeats of each other; an empty table gives an empty result. All columns stay."""
-    found = find_repeats(docs, length, id_col, text_col, _REPEATS)
+    name = spare("repeats", docs.columns)
+    found = find_repeats(docs, length, id_col, text_col, name, least_words)
     schema = found.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column(text_col).to_pylist(), batch.column(_REPEATS).to_pylist(), strict=True)
+            both = zip(batch.column(text_col).to_pylist(), batch.column(name).to_pylist(), strict=True)
             texts = [kept_text(t, _of_words(t, r, least_words)) for t, r in both]
             i = batch.schema.get_field_index(text_col)
             yield batch.set_column(i, batch.schema.field(i).name, pa.array(texts, pa.string()))
 
-    return found.mapInArrow(run, schema).drop(_REPEATS)
+    return found.mapInArrow(run, schema).drop(name)

@@ -96,6 +96,15 @@ def test_neighbours_are_exact(spark, monkeypatch, shard_rows):
     assert vptree.nearest(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_candidates(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.99, 0.1]), (1, [0.0, 1.0]), (100, [1e300, 1e300]), (2, [1e-310, 0.0])]
+    got = {}
+    for r in vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 4)))
+    assert sorted(got[50]) == [(1, 2, 0.9949), (1, 2, 1.0), (2, 50, 0.9949), (2, 50, 0.9949)]
+    assert got[100] == [(1, 50, 0.7746), (2, 1, 0.7071)] and set(got) == {50, 100}
+
+
 def test_recall_falls_slowly_with_the_factor(spark):
     v = vectors(600, 9)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -70,3 +71,44 @@ def test_odd_tables(spark):
     got = sorted((str(r.doc_id), r.text) for r in repeats.without_repeats(df).collect())
     assert got == sorted([("1", ""), ("1", ""), ("None", ""), ("2", "short"), ("3", None)], key=lambda x: (x[0], str(x[1])))
     assert repeats.find_repeats(df.limit(0)).count() == 0
+
+
+def covered_by_words(rows, words, below, spans):
+    """Spans joined with all stretches of whole words that stand twice and take less than ``below`` bytes."""
+    seen, places = {}, []
+    for i, (_, t) in enumerate(rows):
+        b = (t or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)]
+        for j in range(len(at) - words + 1):
+            s, e = at[j][0], at[j + words - 1][1]
+            if e - s < below:
+                seen[b[s:e]] = seen.get(b[s:e], 0) + 1
+                places.append((i, s, e, b[s:e]))
+    out = []
+    for i, own in enumerate(spans):
+        marks = sorted([*own, *((s, e) for k, s, e, w in places if k == i and seen[w] > 1)])
+        merged = []
+        for s, e in marks:
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(e, merged[-1][1])
+            else:
+                merged.append([s, e])
+        out.append([tuple(x) for x in merged])
+    return out
+
+
+def test_stretches_of_short_words(spark):
+    rnd = random.Random(11)
+    short = lambda n: " ".join(rnd.choice(["a", "to", "of", "in", "he", "we", "é", "go", "at", "by"]) + rnd.choice("abcdefg") * rnd.randint(0, 1) for _ in range(n))
+    passage, less = short(53), short(50)
+    rows = [(i, f"{short(rnd.randint(0, 90))} x{i} " + rnd.choice([passage, less, "", passage.replace(" ", "\n")]) + f" y{i} {short(9)}") for i in range(40)]
+    rows += [(50, corpus(1)[0][1]), (51, passage), (51, passage), (None, "na " * 60), (52, None), (53, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(repr((r.doc_id, r.text, [(x.s, x.e) for x in r.repeats])) for r in repeats.find_repeats(df, length=240, words=51).collect())
+    assert got == sorted(repr((d, t, s)) for (d, t), s in zip(rows, covered_by_words(rows, 51, 240, brute(rows, 240)), strict=True))
+    kept = {r.doc_id: r.text for r in repeats.without_repeats(df.filter("doc_id < 50"), length=240, least_words=51).collect()}
+    for d, t in rows[:40]:
+        if passage in t:
+            assert passage not in kept[d] and f"x{d}" in kept[d] and f"y{d}" in kept[d]
+        if less in t:
+            assert less in kept[d]
