@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words that stand elsewhere too are cut; emptied documents go.
 
-    Repeats are found from 240 bytes on, which 51 words hold unless they are of 4 letters or less on
-    average, and those of 50 words or fewer stay. Null texts go as empty ones do; of rows with equal
+    Repeats are found from 240 bytes on, and where 51 words take less, by the words themselves; those of
+    50 words or fewer stay. Null texts go as empty ones do; of rows with equal
     texts, which the stage before leaves out, both would go; an empty table stays empty.
     """
     cut = without_repeats(docs, length=240, least_words=51)
