@@ -85,3 +85,21 @@ def with_rank(rows: DataFrame, group: list[str], order: list[Column | str], name
     parts = joined_to_parts(starts.select(*starts.columns), counts.select("_part", *(f"`{c}`" for c in group), "_first"), group)
     ranked = joined_to_parts(ranged, parts, group).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before"))
     return ranked.select(*(f"`{c}`" for c in rows.columns), name)
+
+
+def sized(table: DataFrame, most: int = 20_000) -> DataFrame:
+    """A table for the small side of a join: broadcast if a count shows that it is short, else merged, where
+    Spark splits partitions of hot keys."""
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
+
+
+def forward_fill(rows: DataFrame, value: str, group: list[str], order: list[Column | str]) -> DataFrame:
+    """``value`` of each row, or the last known one before it in its group. Rows are sorted over range
+    partitions; each partition's last known value is carried to the next, so no task holds a group."""
+    ranged = by_range(rows, group, order, "fill")
+    last = ranged.groupBy(*(f"`{c}`" for c in group), "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_last"))
+    before = Window.partitionBy(*(f"`{c}`" for c in group)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    carried = last.select(*(f"`{c}`" for c in group), "_part", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    within = Window.partitionBy(*(f"`{c}`" for c in group), "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    filled = joined_to_parts(ranged.withColumn("_filled", F.last(value, ignorenulls=True).over(within)), carried, group)
+    return filled.withColumn(value, F.coalesce("_filled", "_carried")).select(*(f"`{c}`" for c in rows.columns))

@@ -87,12 +87,12 @@ class CorpusFilter:
         return _condition(self, {})
 
 
-def without_texts(rows: DataFrame, unwanted: list[str]) -> DataFrame:
-    """Rows in which no column holds any of the texts; an empty list drops nothing."""
+def without_texts(rows: DataFrame, unwanted: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Rows in which no column (of ``columns``) holds any of the texts; an empty list drops nothing."""
     if not unwanted:
         return rows
     pattern = "|".join(re.escape(u) for u in unwanted)
-    found = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"`{c}`").cast("string").rlike(pattern), F.lit(False)) for c in rows.columns))
+    found = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"`{c}`").cast("string").rlike(pattern), F.lit(False)) for c in columns or rows.columns))
     return rows.filter(~found)
 
 

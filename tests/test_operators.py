@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,33 @@ def test_sheets(spark):
     assert R.sheets_to_prices(cells, []).count() == 6
 
 
+def test_sheets_with_and_without_unwanted_texts_agree(spark):
+    """Row by row and cell by cell give the same, and places are filled across partitions as column by column."""
+    rnd = random.Random(6)
+    rows, want = [], []
+    for sheet in range(5):
+        width = rnd.choice([3, 5, 14])
+        rows += [("Fruits_a", f"s{sheet}", 0, [None, None, "x", None]), ("Fruits_a", f"s{sheet}", 3, [None, None, *(str(2000 + i // 12) if i % 12 == 0 else None for i in range(width - 2))])]
+        rows.append(("Fruits_a", f"s{sheet}", 4, [None, None, *(f"p M{'abcdefghijkl'[i % 12]}" for i in range(width - 2))]))
+        body = [(r, rnd.choice(["", "", None, "..Abra", "Bicol", "Cebu"]), rnd.choice(["Mango", "Guava", None]), [rnd.choice(["1.5", "2 Fruits", "..", None, "7.25"]) for _ in range(width - 2)]) for r in range(5, 60)]
+        rows += [("Fruits_a", f"s{sheet}", r, [p, c, *v][: rnd.choice([width, width, 3])]) for r, p, c, v in body]
+        place = None
+        known = {r[2]: r[3] for r in rows if r[1] == f"s{sheet}"}
+        for col in range(width - 2):
+            for r, p, c, _ in body:
+                place = (p or "").lstrip(".") or place
+                if place and c:
+                    cell = known[r][col + 2] if len(known[r]) > col + 2 else None
+                    want.append((f"s{sheet}", r, col, place, c, 2000 + col // 12, "M" + "abcdefghijkl"[col % 12], {"1.5": 1.5, "2 Fruits": 2.0, "7.25": 7.25}.get(cell)))
+    rnd.shuffle(rows)
+    cells = spark.createDataFrame(rows, "file string, sheet string, row_idx int, cells array<string>")
+    columns = ["sheet", "row", "col", "Geolocation", "Commodity", "Year", "Month", "Price"]
+    listed = lambda df: sorted(map(repr, map(tuple, df.select(*columns).collect())))
+    assert listed(R.sheets_to_prices(cells, impute=False)) == sorted(map(repr, want)) == listed(R.sheets_to_prices(cells, ["no such text"], impute=False))
+    assert listed(R.sheets_to_prices(cells)) == listed(R.sheets_to_prices(cells, ["no such text"]))
+    assert R.sheets_to_prices(cells.limit(0)).count() == 0
+
+
 def test_chunks():
     parts = ["a" * 30, "b" * 30, "c" * 95, "d" * 10]
     out = C.split_text("\n\n".join(parts), 70)
