@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
-from .summary import rounded_ratio
+from .summary import rounded_ratio, valid_yields
 
 # The words that decide, in the order in which intents are tried.
 INTENTS = {
@@ -33,8 +34,10 @@ SOURCES = {
 }
 LAST_YEAR = ("last year", "nakaraang taon", "last season")
 THIS_YEAR = ("this year", "ngayon", "current year", "kasalukuyang taon")
+# Words of requests to look around, and of requests for numbers.
 EXPLORING = ("hanap", "maghanap", "search", "records", "record")
 NUMERIC = ("average", "avg", "mean", "highest", "lowest", "trend", "total", "magkano")
+# The provinces, in the order in which they are tried.
 PLACES = (
     "Abra", "Agusan del Norte", "Agusan del Sur", "Aklan", "Albay", "Antique", "Apayao", "Aurora", "Bataan", "Batanes",
     "Batangas", "Benguet", "Biliran", "Bohol", "Bukidnon", "Bulacan", "Cagayan", "Camarines Norte", "Camarines Sur",
@@ -73,12 +76,25 @@ def commodity_of(c: Column) -> Column:
     return F.when(low.isin(*CROPS["palay"]), "Palay").when(low.isin(*CROPS["corn"]), "Corn").otherwise(F.nullif(F.trim(c), F.lit("")))
 
 
+def _tokens(c: Column) -> Column:
+    """Words, and the characters between them one by one."""
+    return F.regexp_extract_all(c, F.lit(r"(?U)(\w+|\W)"), F.lit(1))
+
+
 def place(text: Column, places: tuple[str, ...] = PLACES) -> Column:
-    """First name of the list that stands in the text as whole words."""
-    low = F.lower(text)
-    # One alternation sorts out texts without any name before the names are tried in order.
-    any_name = low.rlike(r"(?U)\b(" + "|".join(p.lower() for p in places) + r")\b")
-    return F.when(any_name, _first([(low.rlike(rf"(?U)\b{p.lower()}\b"), F.lit(p)) for p in places]))
+    """First name of the list that stands in the text as whole words.
+
+    A name is a run of tokens. Runs that begin with a name's first word are looked up among the names
+    by equality, in one hash set; texts without any first word go no further."""
+    if not places:
+        return F.lit(None).cast("string")
+    split = [re.findall(r"\w+|\W", p.lower()) for p in places]
+    names, firsts = F.array(*(F.lit(p.lower()) for p in places)), F.array(*(F.lit(x) for x in sorted({t[0] for t in split})))
+    tokens = _tokens(F.lower(text))
+    at = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_contains(firsts, F.get(tokens, i - 1)))
+    runs = F.flatten(F.transform(at, lambda i: F.array(*(F.array_join(F.slice(tokens, i, n), "") for n in sorted({len(t) for t in split})))))
+    found = F.array_min(F.transform(F.array_intersect(runs, names), lambda x: F.array_position(names, x)))
+    return F.when(F.arrays_overlap(tokens, firsts), F.get(F.array(*(F.lit(p) for p in places)), (found - 1).cast("int")))
 
 
 def years(text: Column, today_year: int) -> Column:
@@ -114,11 +130,11 @@ def preferred_query(kind: Column, text: Column) -> Column:
     )
 
 
-def annotate(messages: DataFrame, today_year: int, text_col: str = "text") -> DataFrame:
+def annotate(messages: DataFrame, today_year: int, text_col: str = "text", places: tuple[str, ...] = PLACES) -> DataFrame:
     """Messages with intent, language, crop, commodity, place, years, what is missing, the sources to
     search and the preferred query."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    out = messages.withColumns({"intent": intent(t), "language": language(t), "crop": crop(t), "place": place(t), "years": years(t, today_year)})
+    out = messages.withColumns({"intent": intent(t), "language": language(t), "crop": crop(t), "place": place(t, places), "years": years(t, today_year)})
     missing = (
         F.when(F.col("intent").isin("price_query", "yield_query") & F.col("place").isNull(), "place")
         .when((F.col("intent") == "advisory_query") & F.col("crop").isNull(), "crop")
@@ -132,27 +148,44 @@ def message_counts(annotated: DataFrame) -> DataFrame:
     return annotated.groupBy("intent", "language", "preferred").agg(F.count("*").alias("messages"))
 
 
+def _running_years(rows: DataFrame, keys: list[str], units: Column) -> DataFrame:
+    """For each subset of ``keys``, null where any value will do (``any`` says which, as bits): an array of
+    (year, rows up to it, sum up to it), by year."""
+    sums = rows.cube(*keys, "year").agg(F.grouping_id().cast("int").alias("g"), F.count("*").alias("n"), F.sum(units).alias("s")).filter("g % 2 = 0")
+    till = Window.partitionBy("g", *keys).orderBy("year").rowsBetween(Window.unboundedPreceding, 0)  # a row a year
+    sums = sums.withColumns({"n": F.sum("n").over(till), "s": F.sum("s").over(till)})
+    return sums.groupBy(F.expr("g div 2").cast("int").alias("any"), *keys).agg(F.sort_array(F.collect_list(F.struct("year", "n", "s"))).alias("till"))
+
+
+def _answers(asked: DataFrame, rows: DataFrame, keys: dict[str, str], units: Column, places: int, count: str, mean: str) -> DataFrame:
+    """Distinct requests (columns ``keys``, ``y0``, ``y1``; null: any) with the number and mean of the rows that
+    they mean. ``keys``: column of the requests -> column of the rows. A request of any span of years is
+    one row, which meets one row of sums and takes the difference of two of its years."""
+    known = _running_years(rows, list(keys.values()), units)
+    bits = [F.col(c).isNull().cast("int") * (1 << (len(keys) - 1 - i)) for i, c in enumerate(keys)]
+    left, right = asked.distinct().withColumn("any", reduce(lambda a, b: a + b, bits)).alias("a"), known.alias("p")
+    on = F.col("a.any") == F.col("p.any")
+    for a, p in keys.items():
+        on = on & F.col(f"a.{a}").eqNullSafe(F.col(f"p.{p}"))
+    up_to = lambda y: F.try_element_at(F.filter("p.till", lambda x: x.year <= y), F.lit(-1))
+    last = F.when(F.col("a.y1").isNull(), F.try_element_at("p.till", F.lit(-1))).otherwise(up_to(F.col("a.y1")))
+    before = F.when(F.col("a.y0").isNotNull(), up_to(F.col("a.y0") - 1))
+    found = left.join(right, on, "left").select(*(f"a.{c}" for c in keys), "a.y0", "a.y1", *((F.coalesce(last[c], F.lit(0)) - F.coalesce(before[c], F.lit(0))).alias(c) for c in "ns"))
+    return found.select(*keys, "y0", "y1", F.col("n").alias(count), rounded_ratio(F.col("s"), F.col("n"), places).alias(mean))
+
+
 def answer_price_queries(annotated: DataFrame, prices: DataFrame) -> DataFrame:
-    """Price summary for each message that asks for one: a null place, commodity or year is any.
-
-    Prices are summed once for every subset of (place, commodity, year), and messages are reduced to
-    their distinct requests, one row a year asked for, which meet the sums of their subset by equal
-    keys; nothing is looked up message by message.
-    """
-    cents = F.sum(F.round(F.col("price_php_per_kg") * 100).cast("long"))
-    cube = prices.filter("price_php_per_kg is not null").cube("geolocation", "commodity", "year").agg(F.grouping_id().cast("int").alias("any"), F.count("*").alias("n"), cents.alias("s"))
-    asked = annotated.filter("preferred = 'summarize_prices'").select("place", "commodity", F.col("years.year_min").alias("y0"), F.col("years.year_max").alias("y1")).distinct()
-    # Which keys are any, as the bits of the cube's grouping id; a year range is at most two centuries.
-    is_any = [F.col(c).isNull().cast("int") for c in ("place", "commodity", "y0")]
-    no_year = F.array(F.lit(None).cast("int"))
-    years_asked = F.when(F.col("y0").isNull(), no_year).otherwise(F.sequence("y0", "y1"))
-    requests = asked.withColumn("any", 4 * is_any[0] + 2 * is_any[1] + is_any[2]).withColumn("y", F.explode(years_asked))
-    left, right = requests.alias("a"), cube.alias("p")
-    on = (
-        (F.col("a.any") == F.col("p.any"))
-        & F.col("a.place").eqNullSafe(F.col("p.geolocation"))
-        & F.col("a.commodity").eqNullSafe(F.col("p.commodity"))
-        & F.col("a.y").eqNullSafe(F.col("p.year"))
-    )
-    found = left.join(right, on, "left").groupBy("a.place", "a.commodity", "a.y0", "a.y1")
-    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("priced_rows"), rounded_ratio(F.sum("s"), F.sum("n"), 2).alias("avg_price"))
+    """``place, commodity, y0, y1, priced_rows, avg_price`` of each distinct request among messages that ask
+    for a price summary; a null place, commodity or range of years is any."""
+    asked = annotated.filter("preferred = 'summarize_prices'").select("place", "commodity", F.col("years.year_min").alias("y0"), F.col("years.year_max").alias("y1"))
+    cents = F.round(F.col("price_php_per_kg") * 100).cast("long")
+    keys = {"place": "geolocation", "commodity": "commodity"}
+    return _answers(asked, prices.filter("price_php_per_kg IS NOT NULL AND year IS NOT NULL"), keys, cents, 2, "priced_rows", "avg_price")
+
+
+def answer_yield_queries(annotated: DataFrame, yields: DataFrame) -> DataFrame:
+    """``place, y0, y1, row_count, avg_yield`` of each distinct request among messages that ask for a yield
+    summary; a place is a province, and a null place or range of years is any."""
+    asked = annotated.filter("preferred = 'summarize_yield'").select("place", F.col("years.year_min").alias("y0"), F.col("years.year_max").alias("y1"))
+    units = F.round(F.col("avg_yield_ton_ha") * 10000).cast("long")
+    return _answers(asked, valid_yields(yields), {"place": "province"}, units, 4, "row_count", "avg_yield")

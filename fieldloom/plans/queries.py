@@ -436,18 +436,56 @@ def message_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.annotate(table(spark, sf_dir, "conversations"), 2026).select("conv_id", "turn", "intent", "crop")
 
 
+ASKED = """o AS (SELECT DISTINCT n_name AS place, CASE WHEN o_orderkey % 4 < 2 THEN CAST(year(o_orderdate) AS INTEGER) END AS y0,
+    CASE o_orderkey % 4 WHEN 0 THEN CAST(year(o_orderdate) AS INTEGER) WHEN 1 THEN CAST(year(o_orderdate) AS INTEGER) + 2 END AS y1
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey UNION SELECT NULL, NULL, NULL UNION SELECT NULL, 1994, 1996)"""
+
+
+def _requests(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
+    """Orders as messages about their place, each fourth about its year only, each fourth about three years."""
+    orders = views._order_places(spark, sf_dir)
+    year = F.year("o_orderdate")
+    k = F.col("o_orderkey") % 4
+    when = F.when(k == 0, F.concat(F.lit(" in "), year.cast("string"))).when(k == 1, F.concat(F.lit(" from "), (year + 2).cast("string"), F.lit(" back to "), year.cast("string"))).otherwise("")
+    asked = orders.select(F.concat(F.lit(words), F.lit(" in "), F.initcap("n_name"), F.lit(","), when).alias("text")).distinct()
+    asked = asked.unionByName(spark.range(2).select(F.when(F.col("id") == 0, words).otherwise(f"{words} 1996, 1994").alias("text")))
+    names = tuple(r.n_name for r in table(spark, sf_dir, "nation").select("n_name").collect())  # a table of 25 rows
+    return G.annotate(stored(asked, "messages"), 2026, places=names)  # a text that is a column, not an expression
+
+
 @query(
-    f"""WITH {PRICES}, o AS (SELECT DISTINCT n_name AS place, CASE WHEN o_orderkey % 4 = 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
-  SELECT place, y AS year_asked, count(price_php_per_kg) AS priced_rows, {MEAN_PRICE} AS avg_price FROM o LEFT JOIN prices ON geolocation = place AND (y IS NULL OR "year" = y) GROUP BY place, y"""
+    f"""WITH {PRICES}, {ASKED} SELECT place, y0, y1, count(price_php_per_kg) AS priced_rows, {MEAN_PRICE} AS avg_price
+  FROM o LEFT JOIN prices ON (place IS NULL OR geolocation = place) AND (y0 IS NULL OR "year" BETWEEN y0 AND y1) GROUP BY place, y0, y1"""
 )
 def message_price_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as requests for the price in their place, each fourth for its year only."""
-    orders = views._order_places(spark, sf_dir)
-    year = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit(" in "), F.year("o_orderdate").cast("string"))).otherwise("")
-    asked = orders.select("n_name", F.concat(F.lit("average price "), year).alias("text")).distinct()
-    marked = G.annotate(asked, 2026).withColumn("place", F.col("n_name")).withColumn("commodity", F.lit(None).cast("string"))
-    out = G.answer_price_queries(marked, views.prices(spark, sf_dir))
-    return out.select("place", F.col("y0").alias("year_asked"), "priced_rows", "avg_price")
+    return G.answer_price_queries(_requests(spark, sf_dir, "magkano"), views.prices(spark, sf_dir)).select("place", "y0", "y1", "priced_rows", "avg_price")
+
+
+@query(
+    f"""WITH {YIELDS}, {ASKED} SELECT place, y0, y1, count(avg_yield_ton_ha) AS row_count,
+  (2 * sum(CAST(round(avg_yield_ton_ha * 10000) AS BIGINT)) + count(avg_yield_ton_ha)) // (2 * count(avg_yield_ton_ha)) / 10000.0 AS avg_yield
+  FROM o LEFT JOIN yields ON (place IS NULL OR province = place) AND (y0 IS NULL OR "year" BETWEEN y0 AND y1) GROUP BY place, y0, y1"""
+)
+def message_yield_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.answer_yield_queries(_requests(spark, sf_dir, "yield total"), views.yields(spark, sf_dir)).select("place", "y0", "y1", "row_count", "avg_yield")
+
+
+PLACE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(x, '(^|[^a-z0-9_])" + p.lower() + "($|[^a-z0-9_])') THEN '" + p + "'" for p in G.PLACES) + " END"
+
+
+@query(
+    f"""WITH p AS (SELECT unnest([{", ".join("'" + p + "'" for p in G.PLACES)}]) AS name, unnest(range({len(G.PLACES)})) AS i),
+  m AS (SELECT conv_id, turn, lower(text || ' sa ' || a.name || CASE turn % 3 WHEN 0 THEN ', ' WHEN 1 THEN 'x, ' ELSE '-' END || b.name || '.') AS x FROM conversations JOIN p a ON a.i = conv_id % {len(G.PLACES)} JOIN p b ON b.i = (conv_id * 7 + turn) % {len(G.PLACES)})
+  SELECT conv_id, turn, {PLACE_SQL} AS place FROM m"""
+)
+def message_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with two provinces each, one of which may be spoiled by a letter."""
+    turns = table(spark, sf_dir, "conversations")
+    names = F.array(*(F.lit(p) for p in G.PLACES))
+    name = lambda c: F.get(names, (c % len(G.PLACES)).cast("int"))
+    between = F.when(F.col("turn") % 3 == 0, ", ").when(F.col("turn") % 3 == 1, "x, ").otherwise("-")
+    said = F.concat("text", F.lit(" sa "), name(F.col("conv_id")), between, name(F.col("conv_id") * 7 + F.col("turn")), F.lit("."))
+    return turns.select("conv_id", "turn", said.alias("text")).select("conv_id", "turn", G.place(F.col("text")).alias("place"))
 
 
 @query(

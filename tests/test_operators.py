@@ -293,6 +293,33 @@ def test_messages(spark):
     assert (got[4].intent, got[4].missing, tuple(got[4].years)) == ("advisory_query", "crop", (2025, 2025))
 
 
+def test_places_are_whole_words(spark):
+    cases = {
+        "from Davao del Norte to Abra": "Abra", "davao  del norte": None, "Tawi-Tawi!": "Tawi-Tawi", "abrax xabra abra_": None, "ni\u00f1aabra": None, "(CEBU)": "Cebu",
+        "Samar, Northern Samar": "Northern Samar", "southern leyte": "Leyte", None: None, "": None, "leyte-southern": "Leyte",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    assert {r.text: r.p for r in df.withColumn("p", G.place(F.col("text"))).collect()} == cases
+    assert df.select(G.place(F.col("text"), ()).alias("p")).distinct().collect()[0].p is None
+
+
+def test_answers_over_ranges_of_years(spark):
+    rnd = random.Random(9)
+    prices = [(rnd.choice("AB"), rnd.choice(["Palay", "Corn"]), rnd.choice([1999, 2001, 2002, 2010, None]), rnd.choice([None, 1.25, 2.5, 7.75])) for _ in range(200)]
+    asked = [(p, c, a, b) for p in ("A", "C", None) for c in ("Palay", None) for a, b in ((None, None), (2001, 2001), (1990, 2001), (2000, 2000), (2002, 2050), (2011, 2012), (2001, 2001))]
+    rows = spark.createDataFrame(prices, "geolocation string, commodity string, year int, price_php_per_kg double")
+    years = F.when(F.col("a").isNotNull(), F.struct(F.col("a").alias("year_min"), F.col("b").alias("year_max")))
+    marked = spark.createDataFrame(asked, "place string, commodity string, a int, b int").select("place", "commodity", years.alias("years"), F.lit("summarize_prices").alias("preferred"))
+    got = {(r.place, r.commodity, r.y0, r.y1): (r.priced_rows, r.avg_price) for r in G.answer_price_queries(marked, rows).collect()}
+    assert set(got) == set(asked)
+    for (p, c, a, b), (n, mean) in got.items():
+        own = [x[3] for x in prices if x[3] is not None and x[2] is not None and p in (None, x[0]) and c in (None, x[1]) and (a is None or a <= x[2] <= b)]
+        assert n == len(own) and (mean is None) == (not own) and (not own or abs(mean - sum(own) / n) <= 0.005001)
+    yields = spark.createDataFrame([("Abra", 2019, 1, 3.0), ("Abra", 2020, 2, 5.0), ("Cebu", 2020, 1, 4.0)], "province string, year int, semester_code int, avg_yield_ton_ha double")
+    wanted = spark.createDataFrame([("Abra", 2020, 2021), ("Abra", None, None), (None, 2020, 2020)], "place string, a int, b int").select("place", years.alias("years"), F.lit("summarize_yield").alias("preferred"))
+    assert {(r.place, r.y0): (r.row_count, r.avg_yield) for r in G.answer_yield_queries(wanted, yields).collect()} == {("Abra", 2020): (1, 5.0), ("Abra", None): (2, 4.0), (None, 2020): (2, 4.5)}
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, n int")
     rows.write.parquet(f"{tmp_path}/in")
