@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gsaca import suffix_array
@@ -415,8 +415,13 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     if words:
         dense = materialize(short.mapInArrow(_word_windows(words, length), "h1 long, h2 long, k1 long, k2 long, pos long, size int"), "stretches")
         twice = dense.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
-        again = dense.join(twice.hint("merge"), ["h1", "h2"], "left_semi")
-        found = found.unionByName(again.select("k1", "k2", "pos", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("spans")))
+        again = dense.join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("k1", "k2", "pos", (F.col("pos") + F.col("size")).alias("end"))
+        # Stretches that touch are one, so a text in which many begin has few rows.
+        of = Window.partitionBy("k1", "k2").orderBy("pos", "end")
+        again = again.withColumn("before", F.max("end").over(of.rowsBetween(Window.unboundedPreceding, -1)))
+        again = again.withColumn("island", F.count_if(F.col("before").isNull() | (F.col("pos") > F.col("before"))).over(of))
+        again = again.groupBy("k1", "k2", "island").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+        found = found.unionByName(again.select("k1", "k2", "pos", F.array(F.struct(F.lit(0).alias("s"), (F.col("end") - F.col("pos")).cast("int").alias("e"))).alias("spans")))
     pieces = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "spans")).alias("pieces"))
     merged = pieces.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<s:int,e:int>>")
     out = keyed.select("row", "k1", "k2").join(merged.hint("merge"), ["k1", "k2"], "left")
