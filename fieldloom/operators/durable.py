@@ -103,3 +103,14 @@ def forward_fill(rows: DataFrame, value: str, group: list[str], order: list[Colu
     within = Window.partitionBy(*(f"`{c}`" for c in group), "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     filled = joined_to_parts(ranged.withColumn("_filled", F.last(value, ignorenulls=True).over(within)), carried, group)
     return filled.withColumn(value, F.coalesce("_filled", "_carried")).select(*(f"`{c}`" for c in rows.columns))
+
+
+def with_running_sum(rows: DataFrame, group: list[str], order: list[Column | str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the group before this one in order. Each range
+    partition begins with the sums of those before it, so no task holds a group."""
+    ranged = by_range(rows, group, order, "sums")
+    keys = [f"`{c}`" for c in group]
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    within = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = joined_to_parts(ranged.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0))), starts_of(totals, group, "_sum", "_start"), group)
+    return summed.withColumn(name, F.col("_within") + F.col("_start")).select(*(f"`{c}`" for c in rows.columns), name)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import with_rank
+from .durable import stored, with_rank, with_running_sum
 
 PRICE_KEY = ["Geolocation", "Commodity", "Year", "Month"]
 
@@ -87,14 +87,32 @@ def urls_by_position(urls: DataFrame, indices: DataFrame) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, base: str, order: str, existing: DataFrame | None = None) -> DataFrame:
-    """``unique_name``: repeated base names get _2, _3, ... in order, after those that exist already."""
+    """``unique_name``: rows of a base name in order get it, then base_2, base_3, ...: the first that no
+    ``existing`` name (a column called like the base) has. A base that looks like another one's name
+    (x_2 beside x) keeps its own.
+
+    The k-th free number of a base is k and as many more as taken numbers come before it; a taken number t
+    comes before it if fewer than k numbers below t are free. Both are ranks over range partitions, so
+    no task holds all rows of a base.
+    """
+    name = F.col(f"`{base}`")
+    named = rows.select(name.alias("_name"))
     if existing is not None:
-        taken = existing.groupBy(F.col(base).alias("_base")).agg(F.count("*").alias("_taken"))
-        rows = rows.join(taken, F.col(base) == F.col("_base"), "left").drop("_base")
-    else:
-        rows = rows.withColumn("_taken", F.lit(0))
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order)) + F.coalesce("_taken", F.lit(0))
-    return rows.withColumn("unique_name", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("_", base, n.cast("string")))).drop("_taken")
+        named = named.unionByName(existing.select(name.alias("_name")))
+    number = F.regexp_extract("_name", r"_([1-9]\d{0,17})$", 1).try_cast("long")
+    whole = named.distinct()
+    taken = whole.filter(number > 1).select(F.regexp_replace("_name", r"_\d+$", "").alias("_base"), number.alias("_t"))
+    if existing is not None:
+        taken = taken.unionByName(existing.select(name.alias("_base"), F.lit(1).cast("long").alias("_t")).distinct())
+    taken = with_rank(taken.join(rows.select(name.alias("_base")).distinct(), "_base", "left_semi"), ["_base"], ["_t"], "_i")
+    ranked = stored(with_rank(rows, [base], [order], "_k").withColumn("_row", F.monotonically_increasing_id()), "names")
+    # Of equal keys the rows come first: only taken numbers with fewer than k free ones below count.
+    events = ranked.select(name.alias("_base"), (F.col("_k") + 1).alias("_at_key"), F.lit(0).alias("_taken"), "_row")
+    events = events.unionByName(taken.select("_base", (F.col("_t") - F.col("_i") - 1).alias("_at_key"), F.lit(1).alias("_taken"), F.lit(None).cast("long").alias("_row")))
+    counted = with_running_sum(events, ["_base"], ["_at_key", "_taken", "_row"], "_taken", "_before").filter("_taken = 0").select("_row", "_before")
+    n = F.col("_k") + 1 + F.col("_before")
+    out = ranked.join(counted, "_row").withColumn("unique_name", F.when(n == 1, name).otherwise(F.concat_ws("_", name, n.cast("string"))))
+    return out.drop("_k", "_row", "_before")
 
 
 def snapshots_to_drop(snapshots: DataFrame, keep: int = 2) -> DataFrame:

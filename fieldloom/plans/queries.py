@@ -19,9 +19,10 @@ from ..operators import summary as A
 from ..operators import validate as V
 from ..operators.durable import new_path as scratch
 from ..operators.durable import stored, with_rank
-from ..operators.filters import PriceFilter, YieldFilter, page_of
+from ..operators.filters import CorpusFilter, PriceFilter, YieldFilter, page_of
 from ..operators.normalize import corpus_payload, tag_source
 from ..sources.sinks import export_rows
+from ..sources.store import SearchStore
 from ..streaming import ingest
 from . import views
 from .views import PRICES, YIELDS, table, uuid_sql
@@ -329,6 +330,55 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "point_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_sql(queries: str, passages: str, allowed: str, limit: int) -> str:
+    """Common table expressions up to ``hits``: BM25 of ``queries`` (query_id, query) over ``passages`` (point_id, text)."""
+    return f"""q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM ({queries})),
+  w AS (SELECT point_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({passages})), z AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
+  t AS (SELECT point_id, size, term, count(*) AS tf FROM (SELECT point_id, len(w) AS size, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+  f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+  bm AS (SELECT query_id, point_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / a))), 9) AS score FROM q JOIN t USING (term) JOIN f USING (term), z GROUP BY ALL),
+  hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS "rank" FROM bm WHERE {allowed}) WHERE "rank" <= {limit})"""
+
+
+PRICE_QUESTIONS = "SELECT n_nationkey AS query_id, 'price of Brand#' || (11 + n_nationkey) || ' in ' || n_name || ', ' || CASE n_nationkey % 3 WHEN 0 THEN 'March' WHEN 1 THEN 'July' ELSE 'December' END || ' 1997' AS query FROM nation"
+PRICE_TEXT = """'In ' || "month" || ' ' || "year" || ', the farmgate price of ' || commodity || ' in ' || geolocation ||
+  CASE WHEN price_php_per_kg IS NULL THEN ' had no recorded data.' ELSE ' was ₱' || printf('%.2f', round(price_php_per_kg, 2)) || ' per kilogram.' END || ' (Source: PSA OpenSTAT, ' || commodity_type || ')'"""
+
+
+@query(
+    f"""WITH {PRICES}, {bm25_sql(PRICE_QUESTIONS, f"SELECT seq AS point_id, {PRICE_TEXT} AS text FROM prices", "EXISTS (SELECT 1 FROM prices p WHERE p.seq = point_id AND p.year BETWEEN 1996 AND 1998)", 10)}
+  SELECT query_id, point_id, "rank", round(score, 6) AS score, p."year" AS "year", p.geolocation AS geolocation, p.price_php_per_kg AS price_php_per_kg FROM hits JOIN prices p ON p.seq = point_id WHERE p.price_php_per_kg IS NOT NULL AND score >= 2"""
+)
+def search_price_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about places and months against the stored passages of all price rows, three years allowed;
+    hits without a price are no answers."""
+    rows = views.prices(spark, sf_dir).select(F.col("seq").alias("point_id"), passages.price_passage().alias("text"), "year", "geolocation", "price_php_per_kg")
+    store = SearchStore(spark, scratch(spark, "price-passages"))
+    store.upsert(rows)
+    month = F.when(F.col("n_nationkey") % 3 == 0, "March").when(F.col("n_nationkey") % 3 == 1, "July").otherwise("December")
+    said = F.concat(F.lit("price of Brand#"), (F.col("n_nationkey") + 11).cast("string"), F.lit(" in "), "n_name", F.lit(", "), month, F.lit(" 1997"))
+    questions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), said.alias("query"))
+    hits = store.search(questions, 10, PriceFilter(year_min=1996, year_max=1998).condition(), min_score=2.0)
+    out = S.shaped(hits, {"year": "int", "price_php_per_kg": "double"}, ("geolocation",))
+    return out.select("query_id", "point_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "year", "geolocation", "price_php_per_kg")
+
+
+@query(
+    f"""WITH {bm25_sql("SELECT item_id AS query_id, text AS query FROM benchmark", "SELECT doc_id AS point_id, text FROM documents", "point_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3'))", 5)}
+  SELECT query_id, point_id, "rank", round(score, 6) AS score, source AS source_id FROM hits JOIN documents ON doc_id = point_id"""
+)
+def search_corpus_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts against a stored corpus of which every seventh document was changed by an upsert."""
+    queries, docs = _queries(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text", F.col("source").alias("source_id"))
+    store = SearchStore(spark, scratch(spark, "corpus-passages"))
+    changed = F.col("point_id") % 7 == 0
+    store.upsert(docs.withColumn("text", F.when(changed, F.concat(F.lit("draft "), F.substring("text", 1, 40))).otherwise(F.col("text"))))
+    store.upsert(docs.filter(changed))
+    hits = store.search(queries, 5, CorpusFilter(["src1", "src2", "src3"]).condition())
+    return hits.select("query_id", "point_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "source_id")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
 
@@ -379,7 +429,7 @@ def search_distribution_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts as queries; expected is the first document that holds the text."""
     queries, docs = _queries(spark, sf_dir)
-    expected = docs.join(F.broadcast(queries), F.col("text").contains(F.col("query"))).groupBy("query_id").agg(F.min("point_id").alias("point_id"))
+    expected = S.texts_holding(queries, docs).groupBy("query_id").agg(F.min("point_id").alias("point_id"))
     out = S.evaluate(S.bm25(queries, docs, 20), expected)
     return out.select("queries", *(F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_k", "mrr")))
 
@@ -527,9 +577,18 @@ def snapshot_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.snapshots_to_drop(days).select("file", "snapshot_date")
 
 
-@query("SELECT c_custkey, CASE WHEN n = 1 THEN c_mktsegment ELSE c_mktsegment || '_' || n END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer)")
+@query(
+    """WITH t AS (SELECT c_mktsegment AS b, c_custkey % 40 + 2 AS t FROM customer WHERE c_custkey % 3 = 0 UNION SELECT c_mktsegment, 1 FROM customer WHERE c_custkey % 700 = 0),
+  f AS (SELECT g.b AS b, f, row_number() OVER (PARTITION BY g.b ORDER BY f) AS k FROM (SELECT DISTINCT c_mktsegment AS b FROM customer) g, (SELECT unnest(range(1, count(*) + 50)) AS f FROM customer) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.b = g.b AND t.t = f)),
+  r AS (SELECT c_custkey, c_mktsegment AS b, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer)
+  SELECT c_custkey, CASE WHEN f = 1 THEN r.b ELSE r.b || '_' || f END AS unique_name FROM r JOIN f ON r.b = f.b AND r.k = f.k"""
+)
 def unique_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.unique_names(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey").select("c_custkey", "unique_name")
+    """Market segments as file names, some of which exist already."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    there = rows.filter("c_custkey % 3 = 0").select(F.concat_ws("_", "c_mktsegment", (F.col("c_custkey") % 40 + 2).cast("string")).alias("c_mktsegment"))
+    there = there.unionByName(rows.filter("c_custkey % 700 = 0").select("c_mktsegment"))
+    return M.unique_names(rows, "c_mktsegment", "c_custkey", there).select("c_custkey", "unique_name")
 
 
 @query(
