@@ -663,6 +663,20 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.current_rows(spark, log, "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
+@query("SELECT event_type, count(DISTINCT user_id) AS users, CAST(max(user_id) AS BIGINT) AS last_user FROM events WHERE user_id IS NOT NULL GROUP BY event_type")
+def stream_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive in three files; a first run takes two of them, a second one goes on. Each user's first
+    event of a type is kept once."""
+    events = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    folder, runs = scratch(spark, "arriving"), ingest.Runs(spark, scratch(spark, "first"))
+    for k in range(3):
+        events.filter(F.pmod("event_id", F.lit(3)) == k).write.mode("append").parquet(f"{folder}/{k}")
+        if k:
+            arrived = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 16).parquet(f"{folder}/*")
+            ingest.keep_first_seen(arrived, runs, ["user_id", "event_type"], "ts", "4000 days")
+    return runs.read().groupBy("event_type").agg(F.count("*").alias("users"), F.max("user_id").cast("long").alias("last_user"))
+
+
 @query()
 def stream_corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"

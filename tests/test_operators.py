@@ -328,3 +328,26 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("b", 5)], "k string, n int").write.mode("append").parquet(f"{tmp_path}/in")
     run()
     assert sorted(tuple(r) for r in ingest.current_rows(spark, f"{tmp_path}/log", "k", "n").collect()) == [("a", 2), ("b", 5)]
+
+
+def test_first_seen_rows_restart_and_expire(spark, tmp_path):
+    """Late rows are dropped, a known key comes back as new once its state has gone, and a restart goes on."""
+    schema = "k string, n int, at timestamp"
+    runs = ingest.Runs(spark, f"{tmp_path}/runs")
+
+    def arrive(rows, fresh=False):
+        made = spark.createDataFrame(rows, "k string, n int, t string").select("k", "n", F.to_timestamp("t").alias("at"))
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        ingest.keep_first_seen(stream, runs, "k", "at", "1 hour", fresh)
+        return sorted((r.k, r.n) for r in runs.read().collect())
+
+    assert arrive([("a", 1, "2026-01-01 10:00:00"), ("b", 1, "2026-01-01 10:10:00")]) == [("a", 1), ("b", 1)]
+    arrive([("a", 2, "2026-01-01 10:20:00"), ("c", 1, "2026-01-01 10:30:00")])
+    assert ("c", 1) in {(r.k, r.n) for r in runs.read().collect()} and ("a", 2) not in {(r.k, r.n) for r in runs.read().collect()}
+    arrive([("d", 1, "2026-01-01 15:00:00")])  # the watermark goes to 14:00
+    arrive([("late", 1, "2026-01-01 13:00:00"), ("a", 3, "2026-01-01 15:10:00"), ("d", 2, "2026-01-01 15:20:00")])
+    got = {(r.k, r.n) for r in runs.read().collect()}
+    assert ("late", 1) not in got and ("a", 3) in got and ("d", 2) not in got
+    again = arrive([("z", 1, "2026-01-01 15:30:00")], fresh=True)
+    assert ("a", 1) in again and runs.read(1).count() == len(got) and runs.current().endswith("run-2")
