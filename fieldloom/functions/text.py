@@ -128,6 +128,19 @@ def snippet(c: Column, size: int = 500) -> Column:
     return F.substring(strip(c), 1, size)
 
 
+# The sites that are searched for documents without a link.
+SEARCH_PAGES = {"pinoyrice": "https://www.pinoyrice.com/?s=", "philrice": "https://www.philrice.gov.ph/?s="}
+
+
+def source_link(source_id: Column, title: Column, filename: Column, *links: Column) -> Column:
+    """The first link that is not blank; else, for sources with a site, a search for the title or file name."""
+    known = F.coalesce(*(blank_to_null(c) for c in links), F.lit(None).cast("string"))
+    wanted = F.coalesce(blank_to_null(title), blank_to_null(filename))
+    quoted = F.replace(F.replace(F.url_encode(wanted), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    site = reduce(lambda a, b: a.when(F.lower(source_id) == b[0], b[1]), SEARCH_PAGES.items(), F.when(F.lit(False), ""))
+    return F.coalesce(known, F.concat(site, quoted))
+
+
 def seed_urls(c: Column) -> Column:
     """The http(s) URLs of a list set apart by spaces and commas."""
     return F.filter(F.split(c, r"[\s,]+"), lambda x: x.startswith("http://") | x.startswith("https://"))

@@ -20,6 +20,7 @@ NOISE_WORDS = (
     "leave a reply", "0 reply", "1 reply", "2 reply", "replies", "years ago", "months ago", "days ago", "« previous", "next »",
     "subscribe", "post comment",
 )
+# Lines of page furniture, as one pattern, so that a line is looked at once.
 NOISE_LINE = (
     r"(?i)^(\d*\s*Reply\s*$|\d+\s*(year|month|day)s?\s+ago\s*$|«\s*Previous\s*|Next\s*»|\d+\s*\.\.\.\s*\d+"
     r"|(Guest|Author|admin|Editor)\s*$|Posted\s+on\s+|Published\s+|Share\s*(this|on)\s*)"
@@ -137,6 +138,7 @@ def clean_portal(text: Column, least: int = 100) -> Column:
 
 def article_until_moods(full: Column) -> Column:
     """Article text up to "Leave a Reply", and through the mood list if there is one."""
+    # The marks of the reply and mood boxes, the moods, and 350 characters where none is rated.
     head = strip(F.get(F.split(full, "(### )?Leave a Reply", 2), F.lit(0)))
     at = F.instr(F.upper(head), "HOW DOES THIS POST MAKE YOU FEEL")
     rest = F.substr(head, at, F.length(head))

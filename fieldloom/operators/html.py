@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import id_from_url, strip, url_part
+from ..functions.text import app_url, id_from_url, strip, url_part
 
 PARSED = "title string, text string, focus string, links array<string>, tables array<array<array<string>>>"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -133,11 +133,14 @@ def is_error_page(title: Column, text: Column) -> Column:
     return F.coalesce(title, F.lit("")).rlike(missing) | F.coalesce(F.substring(text, 1, 800), F.lit("")).rlike(missing)
 
 
-def page_records(parsed: DataFrame, source: str = "pages", least: int = 80) -> DataFrame:
-    """Corpus records of pages with enough text, ids from the URL."""
+def page_records(parsed: DataFrame, source: str = "pages", least: int = 80, host: str | None = None) -> DataFrame:
+    """Corpus records of pages with enough text, ids from the URL. Listing pages of ``host`` count as the
+    application they wrap (``app_url``); ``original_url`` is the page's own URL where it differs."""
     text = strip(F.regexp_replace("focus", "\n{3,}", "\n\n"))
     rows = parsed.withColumn("text", text).filter(F.length("text") >= least)
-    return rows.select(F.lit(source).alias("source"), id_from_url(F.col("url")).alias("doc_id"), "text", "url", "title")
+    url = app_url(F.col("url"), host) if host else F.col("url")
+    rows = rows.withColumns({"url": url, "original_url": F.when(url != F.col("url"), F.col("url"))})
+    return rows.select(F.lit(source).alias("source"), id_from_url(F.col("url")).alias("doc_id"), "text", "url", "title", "original_url")
 
 
 def table_rows(parsed: DataFrame, width: int) -> DataFrame:
@@ -157,6 +160,7 @@ def _plain(c: Column) -> Column:
 
 def yield_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Municipality and value of each ``<th scope="row">name</th><td>number``."""
+    # The row pattern of the yield pages.
     pattern = r'(?is)<th\s+scope="row"[^>]*>([^<]+)</th>\s*<td[^>]*>\s*([\d.]+)'
     names, values = (F.regexp_extract_all(html_col, F.lit(pattern), F.lit(i)) for i in (1, 2))
     rows = pages.select(*(c for c in pages.columns if c != html_col), F.explode(F.arrays_zip(names.alias("n"), values.alias("v"))).alias("x"))
@@ -167,6 +171,7 @@ def yield_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
 def provinces(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Number and name of each ``id="prov-N" value="..."`` before the first script."""
     head = F.split_part(html_col, F.lit("<script>"), F.lit(1))
+    # The attributes of the province list.
     ids, names = (F.regexp_extract_all(head, F.lit(r'id="prov-(\d+)"[^>]*value="([^"]*)"'), F.lit(i)) for i in (1, 2))
     rows = pages.select(F.explode(F.arrays_zip(ids.alias("i"), names.alias("n"))).alias("x"))
     return rows.select(F.col("x.i").cast("int").alias("province_id"), F.trim("x.n").alias("province"))

@@ -13,7 +13,8 @@ PRICE_KEY = ["Geolocation", "Commodity", "Year", "Month"]
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The row of each key that comes last in order: a hash aggregate with partial sums, no sort."""
+    """The row of each key that comes last in order: an aggregate with partial results, no window. Rows with
+    strings are kept in a sort aggregate, one row a key in each task before the shuffle."""
     by = F.struct(*(F.col(c).alias(f"o{i}") if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order)))
     rest = [c for c in rows.columns if c not in keys]
     picked = rows.groupBy(*(f"`{k}`" for k in keys)).agg(F.max_by(F.struct(*(f"`{c}`" for c in rest)), by).alias("_r"))
@@ -132,7 +133,7 @@ def trim_history(messages: DataFrame, limit: int = 10, size: int = 4000) -> Data
     """Last ``limit`` user and assistant messages of each conversation, stripped, blank ones left out."""
     text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     valid = messages.filter(F.col("role").isin("user", "assistant")).withColumn("text", F.substring(text, 1, size)).filter("text != ''")
-    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "text")
     return valid.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") <= limit).drop("_n")
 
 

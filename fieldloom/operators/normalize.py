@@ -23,6 +23,23 @@ def semester_code(label: Column) -> Column:
     )
 
 
+def price_records(rows: DataFrame, order: list[str], source: str = "openstat") -> DataFrame:
+    """Normalised prices -> corpus records: a sentence as text, input and content, source, doc_id with the
+    row's number in ``order``, and place, commodity, type, year, month and price (null: no price)."""
+    from ..functions import passages
+    from .durable import with_rank
+
+    wanted = [*dict.fromkeys([*order, "geolocation", "commodity_type", "commodity", "year", "month", "price_php_per_kg"])]
+    ranked = with_rank(rows.select(*wanted), [], order, "_index")
+    text = lambda c: F.coalesce(strip(F.col(c).cast("string")), F.lit(""))
+    said = ranked.withColumn("text", passages.price_sentence())
+    return said.select(
+        "text", F.col("text").alias("input"), F.col("text").alias("content"), F.lit(source).alias("source"), passages.price_doc_id(F.col("_index"), source).alias("doc_id"),
+        text("geolocation").alias("geolocation"), F.coalesce(blank_to_null(F.col("commodity")), text("commodity_type")).alias("commodity"), text("commodity_type").alias("commodity_type"),
+        "year", text("month").alias("month"), F.when(~F.isnan("price_php_per_kg"), F.col("price_php_per_kg")).alias("price"),
+    )
+
+
 def is_annual(month: Column) -> Column:
     return F.lower(strip(month)).isin(*ANNUAL)
 

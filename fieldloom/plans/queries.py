@@ -13,6 +13,7 @@ from ..operators import corpus as C
 from ..operators import html as H
 from ..operators import merge as M
 from ..operators import messages as G
+from ..operators import normalize as N
 from ..operators import reshape as R
 from ..operators import search as S
 from ..operators import summary as A
@@ -195,6 +196,18 @@ def price_record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("index", passages.price_doc_id(F.col("index")).alias("doc_id"))
 
 
+@query(
+    f"""WITH {PRICES}, n AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM prices)
+  SELECT 'openstat_' || trim(regexp_replace(lower(geolocation), '[^a-zA-Z0-9_-]+', '_', 'g'), '_') || '_' || trim(regexp_replace(lower(commodity), '[^a-zA-Z0-9_-]+', '_', 'g'), '_') || '_' || "year" || '_' || lower("month") || '_' || i AS doc_id,
+    md5('In ' || "month" || ' ' || "year" || ', the farmgate price of ' || commodity || ' in ' || geolocation || CASE WHEN price_php_per_kg IS NULL THEN ' had no recorded data.' ELSE ' was ₱' || printf('%.2f', round(price_php_per_kg, 2)) || ' per kilogram.' END) AS text_md5,
+    true AS same, geolocation, commodity, commodity_type, "year", "month", price_php_per_kg AS price FROM n"""
+)
+def price_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = N.price_records(views.prices(spark, sf_dir), ["seq"])
+    same = (F.col("text") == F.col("input")) & (F.col("text") == F.col("content")) & (F.col("source") == "openstat")
+    return records.select("doc_id", F.md5("text").alias("text_md5"), same.alias("same"), "geolocation", "commodity", "commodity_type", "year", "month", "price")
+
+
 @query(
     f"""WITH {YIELDS}, grid AS (SELECT y."year" AS "year", s AS semester_code, n_name AS province FROM (SELECT DISTINCT "year" FROM yields) y, (VALUES (1), (2)) v(s), nation)
   SELECT "year", semester_code, province FROM grid g WHERE NOT EXISTS (SELECT 1 FROM yields d WHERE d."year" = g."year" AND d.semester_code = g.semester_code AND d.province = g.province AND d.avg_yield_ton_ha > 4.5)"""
@@ -435,13 +448,18 @@ def search_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH d AS (SELECT page_id, url, TRY_CAST(regexp_extract(url, '(^|[^0-9])((19|20)[0-9]{2}[-_/](0[1-9]|1[0-2])[-_/]([0-2][0-9]|3[01]))', 2).replace('_', '-').replace('/', '-') AS DATE) AS u,
-  TRY_CAST(regexp_extract(html, '(^|[^0-9])((19|20)[0-9]{2}[-_/](0[1-9]|1[0-2])[-_/]([0-2][0-9]|3[01]))([^0-9]|$)', 2).replace('_', '-').replace('/', '-') AS DATE) AS h FROM pages)
-  SELECT page_id, coalesce(u, h) AS found FROM d WHERE coalesce(u, h) IS NOT NULL ORDER BY found DESC, page_id LIMIT 50"""
+    r"""WITH f AS (SELECT page_id, printf('%04d-%02d-%02d', 2001 + page_id % 25, 1 + page_id % 14, 1 + page_id * 7 % 31) AS a, printf('%04d-%02d-%02d', 2000 + page_id % 20, 1 + page_id % 12, 1 + page_id % 28) AS b FROM pages),
+  d AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN TRY_CAST(a AS DATE) END AS u, CASE WHEN page_id % 5 < 3 THEN TRY_CAST(b AS DATE) END AS h FROM f)
+  SELECT page_id, CAST(coalesce(u, h) AS VARCHAR) AS found FROM d WHERE coalesce(u, h) IS NOT NULL ORDER BY found DESC, page_id LIMIT 50"""
 )
 def latest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", first_valid_date(F.col("url"), F.col("html")).alias("found"))
-    return rows.filter("found is not null").orderBy(F.desc("found"), "page_id").limit(50)
+    """Pages with a date in their URL, which may not exist, in a field of their own, in both, or in none."""
+    n = F.col("page_id")
+    dashed = F.format_string("%04d-%02d-%02d", 2001 + n % 25, 1 + n % 14, 1 + n * 7 % 31)
+    own = F.format_string("%04d-%02d-%02d", 2000 + n % 20, 1 + n % 12, 1 + n % 28)
+    rows = table(spark, sf_dir, "pages").select("page_id", F.when(n % 3 == 0, F.concat("url", F.lit("/"), F.replace(dashed, F.lit("-"), F.lit("/")), F.lit("/a.html"))).otherwise(F.col("url")).alias("url"), F.when(n % 5 < 3, own).alias("posted"))
+    found = rows.select("page_id", first_valid_date(F.col("url"), F.col("posted")).alias("found"))
+    return found.filter("found is not null").orderBy(F.desc("found"), "page_id").limit(50).withColumn("found", F.col("found").cast("string"))
 
 
 @query(

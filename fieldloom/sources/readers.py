@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.corpus import parse_article
+from ..functions.text import strip
+from ..operators.corpus import chunk_records, parse_article
 from ..operators.durable import joined_to_parts, starts_of, stored
 from ..operators.merge import concat_frames
 from ..operators.normalize import normalize_prices, normalize_yields
@@ -90,6 +92,40 @@ def read_corpora(spark: SparkSession, registry: list[CorpusSource], only: str |
     return (concat_frames(*frames) if frames else None), warnings
 
 
+def _file_name(path: Column) -> Column:
+    """Last part of a path as Spark gives it, with its percent signs resolved."""
+    return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
+
+
+def read_text_records(
+    spark: SparkSession, path: str, source: str, base_id: Callable[[Column, Column], Column] | None = None, preprocess: Callable[[Column], Column] | None = None, size: int = 2000, least: int = 100
+) -> DataFrame:
+    """Text files, one document each -> corpus records: read, stripped, ``preprocess``ed, cut into chunks.
+
+    ``base_id(file name, raw text)`` gives the id's stem; by default the file name without its ending and
+    with everything but letters, digits, ``_-.`` as ``_``. Blank files give nothing."""
+    raw = spark.read.text(path, wholetext=True).select(_file_name(F.col("_metadata.file_path")).alias("filename"), strip(F.col("value")).alias("raw")).filter("raw != ''")
+    stem = F.substring(F.regexp_replace(F.regexp_replace("filename", r"\.[^.]+$", ""), r"(?U)[^\w\-.]", "_"), 1, 120)
+    rows = raw.select("filename", (base_id(F.col("filename"), F.col("raw")) if base_id else stem).alias("base"), (preprocess(F.col("raw")) if preprocess else F.col("raw")).alias("text"))
+    cut = chunk_records(rows, F.col("base"), size, least)
+    return cut.select(F.col("chunk_text").alias("text"), F.col("chunk_text").alias("input"), F.lit(source).alias("source"), F.col("chunk_doc_id").alias("doc_id"), "filename")
+
+
+def read_sheets(spark: SparkSession, path: str, width: int = 512) -> DataFrame:
+    """A folder of sheets saved as CSV, one a file -> ``file, sheet, row_idx, cells``: the file's name up to its
+    last dot is the file, and what follows ``__`` in it, if anything, the sheet. Empty cells are null, and
+    rows are as long as their last filled cell. Cells hold no line breaks."""
+    lines = read_lines(spark, path).withColumn("line", F.rtrim("line", F.lit("\r")))
+    name = F.regexp_replace(_file_name(F.col("file")), r"\.[^.]*$", "")
+    fields = [f"c{i}" for i in range(width)]
+    row = F.from_csv("line", ", ".join(f"{c} string" for c in fields), {"escape": '"'})
+    parsed = lines.withColumns({"_r": row, "_name": name})
+    cells = F.array(*(F.nullif(F.col(f"_r.{c}"), F.lit("")) for c in fields))
+    last = F.array_max(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i + 1)))
+    parts = F.split("_name", "__", 2)
+    return parsed.select(parts[0].alias("file"), F.coalesce(F.get(parts, F.lit(1)), F.lit("Sheet1")).alias("sheet"), F.col("line_no").alias("row_idx"), F.slice(cells, 1, F.coalesce(last, F.lit(0))).alias("cells"))
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Article files -> file, url, title, body."""
     raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("filename"), parse_article(F.col("value")).alias("a"))

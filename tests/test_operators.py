@@ -351,3 +351,30 @@ def test_first_seen_rows_restart_and_expire(spark, tmp_path):
     assert ("late", 1) not in got and ("a", 3) in got and ("d", 2) not in got
     again = arrive([("z", 1, "2026-01-01 15:30:00")], fresh=True)
     assert ("a", 1) in again and runs.read(1).count() == len(got) and runs.current().endswith("run-2")
+
+
+def test_links_error_pages_and_original_urls(spark):
+    from fieldloom.functions.text import source_link
+
+    rows = [("pinoyrice", "A title & more*~", "f.pdf", None, " "), ("Philrice", " ", "f g.pdf", None, None), ("irri", "t", None, None, None), ("irri", "t", None, "", "https://x/y"), ("philrice", None, "", None, None), ("philrice", "t", None, "https://a", "https://b")]
+    df = spark.createDataFrame(rows, "s string, t string, f string, u string, v string")
+    got = [r[0] for r in df.select(source_link(*(F.col(c) for c in "stfuv"))).collect()]
+    assert got == ["https://www.pinoyrice.com/?s=A+title+%26+more%2A~", "https://www.philrice.gov.ph/?s=f+g.pdf", None, "https://x/y", None, "https://a"]
+    pages = spark.createDataFrame([("404 - gone", "x"), ("Fine", "The page was Not Found here"), ("Rice 4040", "y" * 801 + " 404"), (None, None)], "title string, text string")
+    assert [r[0] for r in pages.select(H.is_error_page(F.col("title"), F.col("text"))).collect()] == [True, True, False, False]
+    parsed = spark.createDataFrame([("https://p.example/dataproducts/", "T", "w " * 50), ("https://p.example/a", "T", "w " * 50), ("https://p.example/b", "T", "short")], "url string, title string, focus string")
+    assert sorted((r.url, r.original_url) for r in H.page_records(parsed, host="p.example").collect()) == [("https://p.example/a", None), ("https://p.example/wp-dynamicreports", "https://p.example/dataproducts/")]
+
+
+def test_text_files_and_sheets_of_a_folder(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a b.txt").write_text("x" * 90 + "\n\n" + "y" * 90)
+    (tmp_path / "t" / "blank.txt").write_text("  \n")
+    got = readers.read_text_records(spark, f"{tmp_path}/t", "files", preprocess=F.upper, size=100, least=50).collect()
+    assert sorted((r.doc_id, r.text, r.source, r.filename) for r in got) == [("a_b_chunk_0", "X" * 90, "files", "a b.txt"), ("a_b_chunk_1", "Y" * 90, "files", "a b.txt")]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "Cereals_x__Palay.csv").write_text('Title,,\n\n,,2020,\r\n,,January,February\n"..Abra, north",Palay,10.5,20.25\n,Palay,..,"30"\n')
+    cells = readers.read_sheets(spark, f"{tmp_path}/s", width=8)
+    assert [(r.file, r.sheet, r.row_idx, r.cells) for r in cells.orderBy("row_idx").collect()][2:5] == [("Cereals_x", "Palay", 3, [None, None, "2020"]), ("Cereals_x", "Palay", 4, [None, None, "January", "February"]), ("Cereals_x", "Palay", 5, ["..Abra, north", "Palay", "10.5", "20.25"])]
+    prices = R.sheets_to_prices(cells).orderBy("col", "row").collect()
+    assert [(r.Geolocation, r.Year, r.Month, r.Price, r["Commodity Type"]) for r in prices] == [("Abra, north", 2020, "January", 10.5, "Cereals"), ("Abra, north", 2020, "January", 10.5, "Cereals"), ("Abra, north", 2020, "February", 20.25, "Cereals"), ("Abra, north", 2020, "February", 30.0, "Cereals")]
