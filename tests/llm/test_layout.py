@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import packing, sharding, vptree
 
@@ -69,6 +70,31 @@ def test_shards_match_the_mixture(spark, n):
             assert all(abs(own[k] - v * per[s] / len(got)) <= 2 for k, v in mix.items())
 
 
+@pytest.mark.parametrize("n,shards", [(0, 3), (2, 5), (400, 24), (401, 7)])
+def test_places_are_those_of_brute_force(spark, n, shards):
+    """Every row's shard and slot, from the same seeded draws, in plain Python."""
+    rnd = random.Random(n)
+    rows = [(i, rnd.choice(["é", "x y", "z" * 40, None]), rnd.choice(["big"] * 6 + ["a", "b", None])) for i in range(n)] + [(0, "x", "a")] * (n > 5) * 3 + [(None, "q", "big")] * (n > 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    crc = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.unhex(F.lit(""))))
+    drawn = df.select("doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), crc.alias("crc"), F.xxhash64(F.lit(11), "doc_id", crc).alias("draw"), F.xxhash64(F.lit(11), "source").alias("of")).collect()
+    low = lambda x: (x is not None, x or 0)
+    by_source = {}
+    for r in drawn:
+        by_source.setdefault(r.source, []).append(r)
+    placed = []
+    for own in by_source.values():
+        own.sort(key=lambda r: (r.draw, low(r.doc_id), r.crc))
+        placed += [((2 * k + 1) / (2 * len(own)), r.of, r.draw, low(r.doc_id), r.crc, r) for k, r in enumerate(own)]
+    placed.sort(key=lambda x: x[:5])
+    want = []
+    for place, x in enumerate(placed):
+        shard = place * shards // len(placed)
+        want.append((x[5].doc_id, x[5].bytes + 8, x[5].crc, shard, place - (shard * len(placed) + shards - 1) // shards))
+    got = sharding.interleave(df, shards=shards).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def vectors(n, seed=3):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n, 6)).astype(np.float32)
