@@ -377,4 +377,4 @@ def test_text_files_and_sheets_of_a_folder(spark, tmp_path):
     cells = readers.read_sheets(spark, f"{tmp_path}/s", width=8)
     assert [(r.file, r.sheet, r.row_idx, r.cells) for r in cells.orderBy("row_idx").collect()][2:5] == [("Cereals_x", "Palay", 3, [None, None, "2020"]), ("Cereals_x", "Palay", 4, [None, None, "January", "February"]), ("Cereals_x", "Palay", 5, ["..Abra, north", "Palay", "10.5", "20.25"])]
     prices = R.sheets_to_prices(cells).orderBy("col", "row").collect()
-    assert [(r.Geolocation, r.Year, r.Month, r.Price, r["Commodity Type"]) for r in prices] == [("Abra, north", 2020, "January", 10.5, "Cereals"), ("Abra, north", 2020, "January", 10.5, "Cereals"), ("Abra, north", 2020, "February", 20.25, "Cereals"), ("Abra, north", 2020, "February", 30.0, "Cereals")]
+    assert [(r.Geolocation, r.Year, r.Month, r.Price, r["Commodity Type"]) for r in prices] == [("Abra, north", 2020, "January", 10.5, "Cereals"), ("Abra, north", 2020, "January", 20.25, "Cereals"), ("Abra, north", 2020, "February", 20.25, "Cereals"), ("Abra, north", 2020, "February", 30.0, "Cereals")]

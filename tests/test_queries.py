@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["price_summary_by_place_year", "yield_summary", "price_keep_last", "price_passages", "work_grid_pending", "page_ids", "search_bm25", "message_rules", "stream_upserts", "message_price_answers", "search_token_overlap", "latest_listing"]
+SAMPLE = ["price_summary_by_place_year", "yield_summary", "price_keep_last", "price_passages", "work_grid_pending", "page_ids", "search_bm25", "message_rules", "stream_upserts", "message_price_answers", "search_token_overlap", "latest_listing", "latest_pages", "corpus_reports", "job_validation", "sheet_reshape", "search_evaluation", "search_price_passages", "search_corpus_passages", "message_yield_answers", "message_places", "price_records", "unique_file_names", "stream_first_events"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -42,7 +42,7 @@ def test_plans_have_no_row_at_a_time_python(spark):
     for name in ("price_summary_by_place_year", "yield_summary", "price_merge_resumed", "search_bm25", "message_rules"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan
-    for name in ("message_price_answers", "search_token_overlap", "search_dense"):
+    for name in ("message_price_answers", "search_token_overlap", "search_dense", "search_evaluation"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     plan = entry.entry(spark)._jdf.queryExecution().executedPlan().toString()
