@@ -2,46 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.durable import discard, new_path, partitions
+from ..operators.durable import stored as materialize
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset (tests on one machine) a temporary folder is set instead.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: the lineage ends there,
-    so a lost executor never makes the steps before it run again."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes the files of a ``materialize``d table that nothing will read again."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "materialize", "new_path", "partitions", "spare", "with_rank"]
 
 
 def spare(name: str, taken: list[str]) -> str:
@@ -53,11 +20,6 @@ def spare(name: str, taken: list[str]) -> str:
     return name
 
 
-def partitions(df: DataFrame) -> int:
-    """Shuffle partitions of the session, which the caller sizes to the input."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def with_rank(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """Adds to each row its gapless 0-based rank ``name`` within ``group`` by ``order``.
 
