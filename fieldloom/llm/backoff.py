@@ -1,6 +1,6 @@
 """Language-model scores by a weighted backoff automaton.
 
-A corpus has more n-grams than a task can hold, so every bucket of texts (about 600,000 tokens) gets
+A corpus has more n-grams than a task can hold, so every bucket of texts (about 700,000 tokens) gets
 the part of the automaton that its texts can reach. Counts and ids come level by level: the buckets ask
 for their distinct words, then for the pairs (state, word) whose two shorter parts are states, and the
 tasks that share these keys by hash add the counts up and answer each bucket in the order of its own
@@ -23,7 +23,7 @@ from .neardup import _groups
 from .shared import discard, materialize, partitions
 from .textkit import U64, WordHashes, mix, utf8
 
-BUCKET = 600_000  #: tokens of a bucket
+BUCKET = 700_000  #: tokens of a bucket
 STRETCH = 256  #: tokens of a text that one lane walks over
 SHARE = 2_000_000  #: tokens for each task that adds up counts
 PIECE = 4 << 20  #: bytes of a text that are split into words at a time
@@ -288,9 +288,10 @@ def _add_words(parts: int):
     return run
 
 
-def _add_pairs(level: int, parts: int, least: int):
-    """Blocks sorted by task -> ids (0: seen less than ``least`` times) and counts for each block, and
-    for each task of the states the sum and number of their kept continuations (bucket below 0)."""
+def _add_pairs(level: int, parts: int, least: int, last: bool):
+    """Blocks sorted by task -> ids (0: seen less than ``least`` times; none on the last level, where they are
+    no states) and counts for each block, and for each task of the states the sum and number of their
+    kept continuations (bucket below 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["p"]):
@@ -307,7 +308,7 @@ def _add_pairs(level: int, parts: int, least: int):
             for r, k in zip(rows, hs, strict=True):
                 mine = inverse[at : at + len(k)]
                 at += len(k)
-                out.append((r["bucket"], level, p, _pack(ids[mine]), _pack(np.where(kept[mine], count[mine], 0)), None, len(k)))
+                out.append((r["bucket"], level, p, None if last else _pack(ids[mine]), _pack(np.where(kept[mine], count[mine], 0)), None, len(k)))
             own, of = np.unique(u[kept] // len(wu), return_inverse=True)
             mass, kinds = np.bincount(of, count[kept], len(own)).astype(np.int64), np.bincount(of, minlength=len(own))
             goal = hu[own] % parts
@@ -319,9 +320,9 @@ def _add_pairs(level: int, parts: int, least: int):
     return run
 
 
-def _weigh(discount: float):
+def _weigh():
     """Answers of a level and the sums for its states, sorted by task and bucket -> the answers with the
-    share of each state that goes to its failure arc."""
+    sum and number of each state's kept continuations, of which its failure arc's weight is made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["p"]):
@@ -335,27 +336,33 @@ def _weigh(discount: float):
             for r in rows:
                 if r["bucket"] < 0:
                     continue
-                ids, count = _unpack(r["a"]), _unpack(r["b"])
-                gamma = np.ones(len(ids))
+                ids = _unpack(r["a"])
+                own = np.zeros((2, len(ids)), np.int64)
                 if sums:
                     i = np.minimum(np.searchsorted(h, ids), len(h) - 1)
                     has = (h[i] == ids) & (ids > 0)
-                    gamma[has] = (count[has] - mass[i[has]] + discount * kinds[i[has]]) / count[has]
-                out.append((r["bucket"], r["level"], r["p"], r["a"], r["b"], _pack(gamma), r["n"]))
+                    own[:, has] = mass[i[has]], kinds[i[has]]
+                out.append((r["bucket"], r["level"], r["p"], r["a"], r["b"], _pack(own.ravel()), r["n"]))
             yield _batch(BLOCKS, out)
 
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch], parts: int, levels: int) -> Iterator[tuple[int, Bucket]]:
+def _read(batches: Iterator[pa.RecordBatch], parts: int, levels: int, discount: float = 0.0) -> Iterator[tuple[int, Bucket]]:
     """Buckets with the answers to ``levels`` levels, from rows sorted by bucket, level and task."""
     for group in _groups(batches, ["bucket"]):
         rows = group.to_pylist()
         bucket = Bucket(rows[0]["a"], rows[0]["b"], parts)
         for level in range(1, levels + 1):
             own = [r for r in rows if r["level"] == level]
-            join = lambda c, kind=np.int64: np.concatenate([np.empty(0, kind), *(_unpack(r[c], kind) for r in own if r[c] is not None)])  # noqa: B023, E731
-            bucket.answered(join("a"), join("b"), join("c", np.float64))
+            each = lambda c: [_unpack(r[c]) for r in own if r[c] is not None]  # noqa: B023, E731
+            join = lambda x: np.concatenate([np.empty(0, np.int64), *x])
+            counts, ids = join(each("b")), join(each("a"))
+            sums = [x.reshape(2, -1) for x in each("c")]
+            mass, kinds = (join([x[k] for x in sums]) for k in (0, 1))
+            gamma = np.ones(len(mass))
+            gamma[kinds > 0] = ((counts[: len(mass)] - mass + discount * kinds) / np.maximum(1, counts[: len(mass)]))[kinds > 0]
+            bucket.answered(ids if len(ids) == len(counts) else (counts > 0).astype(np.int64), counts, gamma)
         yield rows[0]["bucket"], bucket
 
 
@@ -373,7 +380,7 @@ SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 def _score(order: int, discount: float, parts: int, n_train: int, n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, b in _read(batches, parts, order):
+        for _, b in _read(batches, parts, order, discount):
             doc = [None if f & 1 else d for d, f in b.texts[:, :2].tolist()]
             held = (b.texts[:, 1] & 2 > 0).tolist()
             yield _batch(SCORES, list(zip(b.texts[:, 2].tolist(), doc, held, *b.scores(discount, n_train, n_words), strict=True)))
@@ -394,7 +401,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.75, leas
     where g(h), the weight of the failure arc from h to h', is what the kept n-grams leave of 1, so the
     chances of all words after any state add up to 1. The text's begin is a state, not a token.
 
-    Buckets of 600,000 tokens hold a long text in parts that go on where the last one ended; words
+    Buckets of 700,000 tokens hold a long text in parts that go on where the last one ended; words
     and states are shared out by hash, each bucket asking once for each, so frequent ones are no hot
     keys. All counts cover all texts. Null text: empty, one token. A null id is not held out. Repeated
     rows are scored (and counted) one by one; an empty table gives an empty result. Other columns are
@@ -423,9 +430,9 @@ def backoff_scores(docs: DataFrame, order: int = 2, discount: float = 0.75, leas
     done: list[DataFrame] = []
     for level in range(2, order + 1):
         asked = by_bucket([*done, last]).mapInArrow(_ask_pairs(level, parts), BLOCKS)
-        pairs = materialize(by_task(asked).mapInArrow(_add_pairs(level, parts, least), BLOCKS), "pairs")
+        pairs = materialize(by_task(asked).mapInArrow(_add_pairs(level, parts, least, level == order), BLOCKS), "pairs")
         both = last.filter("bucket >= 0").unionByName(pairs.filter("bucket < 0"))
-        done.append(materialize(by_task(both).mapInArrow(_weigh(discount), BLOCKS), "states"))
+        done.append(materialize(by_task(both).mapInArrow(_weigh(), BLOCKS), "states"))
         discard(last)  # its answers are among the states'
         last = pairs
     scored = by_bucket([*done, last]).mapInArrow(_score(order, discount, parts, n_train or 0, n_words), SCORES)

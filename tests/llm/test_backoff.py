@@ -64,7 +64,7 @@ def corpus(n, seed=5):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize("order,bucket,stretch", [(1, 600_000, 256), (2, 600_000, 256), (3, 600_000, 256), (2, 37, 5), (3, 61, 4), (4, 50, 3)])
+@pytest.mark.parametrize("order,bucket,stretch", [(1, 700_000, 256), (2, 700_000, 256), (3, 700_000, 256), (2, 37, 5), (3, 61, 4), (4, 50, 3)])
 def test_scores_equal_a_plain_model(spark, monkeypatch, order, bucket, stretch):
     monkeypatch.setattr(backoff, "BUCKET", bucket)
     monkeypatch.setattr(backoff, "STRETCH", stretch)
@@ -92,7 +92,7 @@ def _with_limits(run, bucket, stretch=256):
         try:
             yield from run(batches)
         finally:
-            there.BUCKET, there.STRETCH, there.PIECE = 600_000, 256, 4 << 20
+            there.BUCKET, there.STRETCH, there.PIECE = 700_000, 256, 4 << 20
 
     return limited
 
