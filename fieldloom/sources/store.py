@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index
-from ..operators.merge import upsert
+from ..operators.durable import sized, stored
+from ..operators.merge import keep_last, upsert
+
+PLACE = ("_block", "_row")  #: where a passage stands in the index
 
 
 class Store:
@@ -34,6 +38,10 @@ class Store:
     def part(self):
         return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.parts)).cast("int")
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """The rows with their ``_part``, all of a part in one partition."""
+        return rows.withColumn("_part", self.part()).repartition(self.parts, "_part")
+
     def versions(self) -> list[int]:
         return sorted(int(n[1:-5]) for n in self._names("manifests") if n.startswith("v") and n.endswith(".json"))
 
@@ -54,7 +62,9 @@ class Store:
         """Writes ``rows`` as the whole new content of the ``touched`` parts (None: of all); returns the
         version. Fails, and leaves the table as it was, if another run wrote that version meanwhile."""
         run = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("_part", self.part() if part is None else part).repartition(self.parts, "_part").write.partitionBy("_part").parquet(f"{self.path}/{run}")
+        if "_part" not in rows.columns:  # else the rows of a part are together already
+            rows = self.dealt(rows) if part is None else rows.withColumn("_part", part)
+        rows.write.partitionBy("_part").option("compression", "zstd").parquet(f"{self.path}/{run}")
         made = {n.removeprefix("_part="): f"{run}/{n}" for n in self._names(run) if n.startswith("_part=")}
         kept = {} if touched is None else {p: f for p, f in self.manifest().items() if int(p) not in touched}
         known = self.versions()
@@ -74,9 +84,23 @@ class Store:
     def upsert(self, new: DataFrame, seq: str | None = None) -> int:
         """Rows of both by key, the new one counting, of new ones the last in ``seq``. Only parts that have
         new rows are read and written."""
-        touched = [r[0] for r in new.select(self.part().alias("p")).distinct().collect()]  # at most `parts` numbers
-        old = self.read(parts=touched)
-        return self.commit(upsert(new.limit(0) if old is None else old, new, self.key, seq), touched)
+        return self.merge(new, seq)[0]
+
+    def merge(self, new: DataFrame, seq: str | None = None, placed: Callable[[DataFrame], DataFrame] | None = None) -> tuple[int, list[int] | None]:
+        """``upsert``, with columns that ``placed`` adds to the rows of a part; also the parts that were written
+        (None: all, in a new table, whose rows are worked out once)."""
+        touched = None
+        if self.versions():
+            touched = [r[0] for r in new.select(self.part().alias("p")).distinct().collect()]  # at most `parts` numbers
+        both = new.withColumn("_new", F.lit(1))
+        old = self.read(parts=touched) if touched else None
+        if old is not None:
+            old = old.select(*(c for c in old.columns if c not in PLACE))
+            both = old.withColumn("_new", F.lit(0)).unionByName(both, allowMissingColumns=True)
+        order = ["_new"] + ([seq] if seq else [F.xxhash64(*(f"`{c}`" for c in new.columns))])
+        # Rows are dealt over the parts once; equal keys meet there.
+        rows = keep_last(self.dealt(both), [self.key, "_part"], order).drop("_new")
+        return self.commit(rows if placed is None else placed(rows), touched), touched
 
     def prune(self, keep: int = 2) -> list[int]:
         """Deletes all versions but the newest ``keep``, and the data that none of these names."""
@@ -108,21 +132,20 @@ class SearchStore:
         self.passages, self.index = Store(spark, f"{path}/passages", key, parts), Store(spark, f"{path}/index", "block", parts)
 
     def upsert(self, new: DataFrame, seq: str | None = None) -> int:
-        touched = [r[0] for r in new.select(self.passages.part().alias("p")).distinct().collect()]  # at most `parts` numbers
-        self.passages.upsert(new, seq)
+        _, touched = self.passages.merge(new, seq, lambda rows: index.with_places(rows, "_part", self.passages.key))
         rows = self.passages.read(parts=touched)
         if rows is None:
             return 0
-        made = index.postings(rows.withColumnRenamed(self.passages.key, "point_id"), self.passages.parts)
-        return self.index.commit(made, touched, F.col("block"))
+        made = index.postings(rows.withColumnRenamed(self.passages.key, "point_id"))
+        return self.index.commit(made, touched, F.shiftright("block", index.PART_BITS).cast("int"))
 
     def search(self, queries: DataFrame, limit: int, condition: Column | None = None, min_score: float | None = None) -> DataFrame:
         """Hits with the passages' columns; ``condition`` on these columns holds for all hits, and the score is
         cut after the limit."""
         rows = self.passages.read()
-        allowed = None if condition is None else rows.filter(condition).withColumnRenamed(self.passages.key, "point_id")
+        allowed = None if condition is None else rows.filter(condition).select(*PLACE)
         hits, _ = index.search(self.index.read(), queries, limit, allowed)
-        out = hits.join(rows.withColumnRenamed(self.passages.key, "point_id"), "point_id")
+        out = rows.drop(*PLACE).withColumnRenamed(self.passages.key, "point_id").join(sized(stored(hits, "found")), "point_id")
         return out if min_score is None else out.filter(F.col("score") >= min_score)
 
 

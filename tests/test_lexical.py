@@ -43,3 +43,23 @@ def test_lexical_is_brute_force_and_shuffles_best_rows_only(spark, monkeypatch):
         plan = legs[0]._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "point_id" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", plan))  # a common word makes no row a pair
     assert S.bm25(frames[0].filter("query_id > 69"), frames[1], 5).count() == 0
+
+
+def test_stored_index_names_a_passage_once_and_ties_go_by_id(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from fieldloom.operators import index as I
+    from fieldloom.sources.store import SearchStore
+
+    monkeypatch.setattr(I, "BLOCK_BITS", 4)  # many blocks, all with the same bounds
+    docs = [(f"p{i:04d}-{i % 3}", "rice price of the year" if i % 2 else f"price of n{i}", i) for i in range(300)] + [("z", None, 0)]
+    df = spark.createDataFrame(docs, "point_id string, text string, n int")
+    queries = spark.createDataFrame([(1, "rice price"), (2, "n40 of")], "query_id int, query string")
+    store = SearchStore(spark, f"{tmp_path}/s", parts=3)
+    store.upsert(df)
+    store.upsert(df.filter("n % 5 = 0"))
+    ids = store.index.read().select(F.explode("ids")).collect()
+    assert len(ids) == 301 == len(set(ids))
+    got = [(r.query_id, r.point_id, r.score) for r in store.search(queries, 7, F.col("n") > 20).orderBy("query_id", "rank").collect()]
+    want = S.ranked(S.bm25(queries, df, 400).drop("rank").join(df.filter("n > 20").select("point_id"), "point_id", "left_semi"), 7)
+    assert got == [(r.query_id, r.point_id, r.score) for r in want.orderBy("query_id", "rank").collect()] and len(got) == 14
