@@ -7,13 +7,18 @@ from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import app_url, id_from_url, strip, url_part
 
 PARSED = "title string, text string, focus string, links array<string>, tables array<array<array<string>>>"
+OUT = pa.schema([("title", pa.string()), ("text", pa.string()), ("focus", pa.string()), ("links", pa.list_(pa.string())), ("tables", pa.list_(pa.list_(pa.list_(pa.string()))))])
+PIECE = 1 << 20  #: bytes of pages that are parsed to objects at a time
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -86,21 +91,33 @@ def parse_pages(pages: DataFrame, focus: tuple[str, ...] = ("detail_info", "cont
     """``pages(url, html, ...)`` with title, text, focused text (of the first id with ``least``
     characters, else the whole text), distinct absolute links in order, and tables."""
 
-    @F.pandas_udf(PARSED)
-    def parse(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        rows = []
-        for h, u in zip(html, url, strict=True):
-            p = _Page(focus)
-            p.feed(h or "")
-            p.close()
-            text = "\n".join(p.body)
-            found = ("\n".join(p.focus.get(i, [])) for i in focus)
-            part = next((t for t in found if len(t) >= least), text)
-            absolute = [a for a in (absolute_url(x, u or "") for x in p.links) if a]
-            rows.append((p.title or p.h1, text, part, list(dict.fromkeys(absolute)), p.tables))
-        return pd.DataFrame(rows, columns=["title", "text", "focus", "links", "tables"])
-
-    return pages.withColumn("_p", parse("html", "url")).select(*(c for c in pages.columns if c != "html"), "_p.*")
+    kept = [c for c in pages.columns if c != "html"]
+    kinds = dict(pages.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), PARSED])
+
+    def parsed(html, url):
+        p = _Page(focus)
+        p.feed(html or "")
+        p.close()
+        text = "\n".join(p.body)
+        found = ("\n".join(p.focus.get(i, [])) for i in focus)
+        part = next((t for t in found if len(t) >= least), text)
+        absolute = [a for a in (absolute_url(x, url or "") for x in p.links) if a]
+        return {"title": p.title or p.h1, "text": text, "focus": part, "links": list(dict.fromkeys(absolute)), "tables": p.tables}
+
+    def parse(batches):
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("html")).fill_null(0)
+            # Cut where the characters of the pages add up, so that only a small part of a batch is ever held as objects.
+            piece = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) // PIECE
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1), len(batch)] if len(batch) else [0]
+            for start, end in zip(cuts, cuts[1:]):
+                some = batch.slice(start, end - start)
+                rows = [parsed(h, u) for h, u in zip(some.column("html").to_pylist(), some.column("url").to_pylist(), strict=True)]
+                found = pa.RecordBatch.from_pylist(rows, OUT)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), *found.columns], [*kept, *OUT.names])
+
+    return pages.mapInArrow(parse, schema)
 
 
 def absolute_url(href: str | None, base: str) -> str | None:
