@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import stored, with_rank, with_running_sum
+from .durable import sized, stored, with_rank, with_running_sum
 
 PRICE_KEY = ["Geolocation", "Commodity", "Year", "Month"]
 
@@ -51,6 +51,7 @@ def merge_prices(existing: DataFrame | None, new: DataFrame | None, updated_urls
         return None if new is None else keep_last(new, PRICE_KEY, [seq])
     if updated_urls is not None and "Source URL" in existing.columns:
         gone = updated_urls.select(F.col(updated_urls.columns[0]).alias("_url")).distinct()
+        gone = sized(stored(gone, "updated"))  # few URLs, each of very many rows, which must not meet in one task
         existing = existing.join(gone, F.col("`Source URL`") == F.col("_url"), "left_anti")
     both = existing.withColumn("_new", F.lit(0))
     if new is not None:
