@@ -96,11 +96,18 @@ def url_slug(c: Column, size: int = 48) -> Column:
     return F.when(F.coalesce(last, F.lit("")) == "", "").otherwise(F.concat(F.substring(slug, 1, size), F.lit("_"), F.substring(F.sha1(slug), 1, 8)))
 
 
+KEPT = "abcdefghijklmnopqrstuvwxyz0123456789-"  # in tokens, beside "_"
+COMMON_SIGNS = " #.,:/()&'"
+
+
 def safe_token(c: Column, fallback: str = "unknown", size: int = 80) -> Column:
-    """Lower-case token of ASCII letters, digits, ``_`` and ``-``."""
+    """Lower-case token of ASCII letters, digits, ``_`` and ``-``. Patterns take most of a row's time, so they are
+    left to strings with runs of other characters, or with other ones than common signs."""
     s = F.lower(strip(F.coalesce(c.cast("string"), F.lit(""))))
-    token = F.substring(F.regexp_replace(F.regexp_replace(s, "[^a-zA-Z0-9_-]+", "_"), "^_+|_+$", ""), 1, size)
-    return F.when(s.isin("", "nan") | (token == ""), fallback).otherwise(token)
+    spaced = F.translate(s, COMMON_SIGNS, " " * len(COMMON_SIGNS))
+    single = (F.translate(spaced, f"{KEPT}_ ", "") == "") & ~F.contains(spaced, F.lit("  "))
+    clean = F.when(single, F.translate(spaced, " ", "_")).otherwise(F.regexp_replace(s, "[^a-zA-Z0-9_-]+", "_"))
+    return F.when((s != "nan") & (F.translate(s, KEPT, "") != s), F.substring(F.btrim(clean, F.lit("_")), 1, size)).otherwise(fallback)
 
 
 def title_slug(c: Column, size: int = 100, fallback: str = "unknown") -> Column:

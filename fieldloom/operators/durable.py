@@ -50,10 +50,13 @@ def partitions(df: DataFrame) -> int:
 
 def by_range(rows: DataFrame, group: list[str], order: list[Column | str], name: str = "ranges") -> DataFrame:
     """The rows sorted by group and order over range partitions, stored with ``_at`` (their place, rising
-    over all rows) and ``_part`` (their partition), so that later passes see one and the same dealing."""
+    over all rows) and ``_part`` (their partition), so that later passes see one and the same dealing. The rows
+    are stored unsorted first, as the ranges' bounds take a pass of their own, which would make them again."""
     keys = [F.col(f"`{c}`") for c in group]
-    ranged = rows.repartitionByRange(partitions(rows), *keys, *order).sortWithinPartitions(*keys, *order)
+    made = stored(rows, f"{name}-rows")
+    ranged = made.repartitionByRange(partitions(rows), *keys, *order).sortWithinPartitions(*keys, *order)
     out = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
+    discard(made)
     more = out.withColumn("_part", F.shiftright("_at", 33))
     more.written_to = out.written_to
     return more
@@ -78,11 +81,13 @@ def joined_to_parts(rows: DataFrame, parts: DataFrame, group: list[str]) -> Data
 
 def with_rank(rows: DataFrame, group: list[str], order: list[Column | str], name: str) -> DataFrame:
     """Adds each row's gapless 0-based rank ``name`` in its group by ``order``; no task holds a group.
-    Only the counts of groups in range partitions are summed up in a window."""
+    Only the counts of groups in range partitions are summed up in a window. Without groups these are a row a
+    partition, and go to all tasks."""
     ranged = by_range(rows, group, order, "rank")
     counts = ranged.groupBy("_part", *(f"`{c}`" for c in group)).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     starts = starts_of(counts, group, "_n", "_before")
     parts = joined_to_parts(starts.select(*starts.columns), counts.select("_part", *(f"`{c}`" for c in group), "_first"), group)
+    parts = parts if group else F.broadcast(parts)
     ranked = joined_to_parts(ranged, parts, group).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before"))
     return ranked.select(*(f"`{c}`" for c in rows.columns), name)
 

@@ -64,3 +64,16 @@ def test_passages(spark):
     y = dict(year=2018, semester_label="1st Semester", region="CAR", province="Abra", municipality="", avg_yield_ton_ha=0.0, scraped_at="2026-05-08T11:04:25")
     s = one(spark, passages.yield_passage(), **y)
     assert "(unknown municipality), in Abra, CAR" in s and "0.00 ton/ha" in s and "scraped 2026-05-08" in s
+
+
+def test_safe_token_leaves_patterns_to_rare_strings(spark):
+    from pyspark.sql import functions as F
+
+    from fieldloom.functions import text as T
+
+    values = ["United States", "Brand#11", "a  b", "a__b", " nan ", "!nan", "__", None, "Ñame 1", "x" * 90, "-", "a\tb"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r.t for r in rows.select(T.safe_token(F.col("v")).alias("t")).collect()]
+    assert got == ["united_states", "brand_11", "a_b", "a__b", "unknown", "nan", "unknown", "unknown", "ame_1", "x" * 80, "-", "a_b"]
+    said = T.safe_token(F.col("v"))._jc.toString()
+    assert said.count("regexp_replace") == 1  # it was written out four times
