@@ -52,11 +52,17 @@ def by_range(rows: DataFrame, group: list[str], order: list[Column | str], name:
     """The rows sorted by group and order over range partitions, stored with ``_at`` (their place, rising
     over all rows) and ``_part`` (their partition), so that later passes see one and the same dealing. The rows
     are stored unsorted first, as the ranges' bounds take a pass of their own, which would make them again."""
-    keys = [F.col(f"`{c}`") for c in group]
     made = stored(rows, f"{name}-rows")
-    ranged = made.repartitionByRange(partitions(rows), *keys, *order).sortWithinPartitions(*keys, *order)
-    out = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
+    out = ranged(made, group, order, name)
     discard(made)
+    return out
+
+
+def ranged(made: DataFrame, group: list[str], order: list[Column | str], name: str = "ranges") -> DataFrame:
+    """``by_range`` of rows that are stored already."""
+    keys = [F.col(f"`{c}`") for c in group]
+    rows = made.repartitionByRange(partitions(made), *keys, *order).sortWithinPartitions(*keys, *order)
+    out = stored(rows.withColumn("_at", F.monotonically_increasing_id()), name)
     more = out.withColumn("_part", F.shiftright("_at", 33))
     more.written_to = out.written_to
     return more
@@ -83,12 +89,12 @@ def with_rank(rows: DataFrame, group: list[str], order: list[Column | str], name
     """Adds each row's gapless 0-based rank ``name`` in its group by ``order``; no task holds a group.
     Only the counts of groups in range partitions are summed up in a window. Without groups these are a row a
     partition, and go to all tasks."""
-    ranged = by_range(rows, group, order, "rank")
-    counts = ranged.groupBy("_part", *(f"`{c}`" for c in group)).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    dealt = by_range(rows, group, order, "rank")
+    counts = dealt.groupBy("_part", *(f"`{c}`" for c in group)).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     starts = starts_of(counts, group, "_n", "_before")
     parts = joined_to_parts(starts.select(*starts.columns), counts.select("_part", *(f"`{c}`" for c in group), "_first"), group)
     parts = parts if group else F.broadcast(parts)
-    ranked = joined_to_parts(ranged, parts, group).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before"))
+    ranked = joined_to_parts(dealt, parts, group).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before"))
     return ranked.select(*(f"`{c}`" for c in rows.columns), name)
 
 
@@ -101,21 +107,21 @@ def sized(table: DataFrame, most: int = 20_000) -> DataFrame:
 def forward_fill(rows: DataFrame, value: str, group: list[str], order: list[Column | str]) -> DataFrame:
     """``value`` of each row, or the last known one before it in its group. Rows are sorted over range
     partitions; each partition's last known value is carried to the next, so no task holds a group."""
-    ranged = by_range(rows, group, order, "fill")
-    last = ranged.groupBy(*(f"`{c}`" for c in group), "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_last"))
+    dealt = by_range(rows, group, order, "fill")
+    last = dealt.groupBy(*(f"`{c}`" for c in group), "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_last"))
     before = Window.partitionBy(*(f"`{c}`" for c in group)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     carried = last.select(*(f"`{c}`" for c in group), "_part", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     within = Window.partitionBy(*(f"`{c}`" for c in group), "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    filled = joined_to_parts(ranged.withColumn("_filled", F.last(value, ignorenulls=True).over(within)), carried, group)
+    filled = joined_to_parts(dealt.withColumn("_filled", F.last(value, ignorenulls=True).over(within)), carried, group)
     return filled.withColumn(value, F.coalesce("_filled", "_carried")).select(*(f"`{c}`" for c in rows.columns))
 
 
 def with_running_sum(rows: DataFrame, group: list[str], order: list[Column | str], value: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of the group before this one in order. Each range
     partition begins with the sums of those before it, so no task holds a group."""
-    ranged = by_range(rows, group, order, "sums")
+    dealt = by_range(rows, group, order, "sums")
     keys = [f"`{c}`" for c in group]
-    totals = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    totals = dealt.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
     within = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    summed = joined_to_parts(ranged.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0))), starts_of(totals, group, "_sum", "_start"), group)
+    summed = joined_to_parts(dealt.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0))), starts_of(totals, group, "_sum", "_start"), group)
     return summed.withColumn(name, F.col("_within") + F.col("_start")).select(*(f"`{c}`" for c in rows.columns), name)

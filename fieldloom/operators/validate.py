@@ -5,56 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
-from .durable import stored
-from .records import split_records
+from ..functions.text import SPACES, strip
+from .durable import sized, stored
+from .records import split_stored, stored_lines
 
 REQUIRED = ("text", "input", "source", "doc_id")
 OPTIONAL_STRINGS = ("content", "url", "title", "filename")
 SHOWN_ERRORS, SHOWN_IDS = 50, 20
 
 
-def _typed(key: str) -> tuple[Column, Column, Column]:
-    """Type name of a key (null: absent), whether it is a string, and the string."""
-    v = F.try_variant_get("v", f"$.{key}", "variant")
-    kind = F.schema_of_variant(v)
-    is_string = F.coalesce(kind == "STRING", F.lit(False))
-    return kind, is_string, F.when(is_string, F.try_variant_get("v", f"$.{key}", "string"))
+def _blank(s: Column) -> Column:
+    return F.ltrim(s, F.lit(SPACES)) == ""  # looks no further than the first letter
 
 
 def record_errors(records: DataFrame, min_chars: Column | int = 0) -> DataFrame:
     """``records(source_id, line_no, line)`` with ``errors array<string>`` and ``doc_id``.
 
-    Types are read from the JSON, never coerced: a number for a string is an error."""
+    Types are read from the JSON, never coerced: a number for a string is an error. Each key is looked up
+    once: its type (``_t_``, null: absent) and, if it is one, its string (``_s_``) are columns."""
+    strings = (*REQUIRED, *OPTIONAL_STRINGS)
     rows = records.withColumn("v", F.try_parse_json("line"))
-    kind = F.schema_of_variant("v")
+    rows = rows.withColumns({"_kind": F.schema_of_variant("v"), **{f"_t_{k}": F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")) for k in (*strings, "page")}})
+    rows = rows.withColumns({f"_s_{k}": F.when(F.col(f"_t_{k}") == "STRING", F.try_variant_get("v", f"$.{k}", "string")) for k in strings})
+    text, given, content, doc_id = (F.col(f"_s_{k}") for k in ("text", "input", "content", "doc_id"))
+    rows = rows.withColumn("_n", F.when(text != "", F.length(strip(text))))
+    kind, n = F.col("_kind"), F.col("_n")
     prefix = F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(": "))
     say = lambda when, text: F.when(when, F.concat(prefix, text if isinstance(text, Column) else F.lit(text)))
     checks = []
     for key in REQUIRED:
-        t, is_string, s = _typed(key)
+        t = F.col(f"_t_{key}")
         checks.append(
             F.when(t.isNull(), F.concat(prefix, F.lit(f"missing required key '{key}'")))
-            .when(~is_string, F.concat(prefix, F.lit(f"key '{key}' must be string")))
-            .when(strip(s) == "", F.concat(prefix, F.lit(f"key '{key}' is empty")))
+            .when(t != "STRING", F.concat(prefix, F.lit(f"key '{key}' must be string")))
+            .when(_blank(F.col(f"_s_{key}")), F.concat(prefix, F.lit(f"key '{key}' is empty")))
         )
     for key in OPTIONAL_STRINGS:
-        t, is_string, _ = _typed(key)
-        checks.append(say(t.isNotNull() & (t != "VOID") & ~is_string, f"key '{key}' must be string when present"))
-    text, given, content = (_typed(k)[2] for k in ("text", "input", "content"))
+        checks.append(say(F.col(f"_t_{key}").isNotNull() & ~F.col(f"_t_{key}").isin("VOID", "STRING"), f"key '{key}' must be string when present"))
     checks.append(say((text != "") & (given != "") & (text != given), "'text' and 'input' must be identical"))
     checks.append(say((text != "") & content.isNotNull() & (content != text), "'content' must equal 'text' when present"))
     least = min_chars if isinstance(min_chars, Column) else F.lit(min_chars)
-    n = F.length(strip(text))
-    short = F.concat(F.lit("text shorter than min length ("), n.cast("string"), F.lit(" < "), least.cast("string"), F.lit(")"))
-    checks.append(say((text != "") & (n < least), short))
-    page = _typed("page")[0]
+    checks.append(say(n < least, F.concat(F.lit("text shorter than min length ("), n.cast("string"), F.lit(" < "), least.cast("string"), F.lit(")"))))
+    page = F.col("_t_page")
     checks.append(say(page.isNotNull() & ~page.isin("VOID", "BIGINT", "BOOLEAN"), "key 'page' must be integer when present"))
     known = F.filter(F.array(*checks), lambda x: x.isNotNull())
     is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
     errors = F.when(F.col("v").isNull(), F.array(F.concat(prefix, F.lit("invalid JSON")))).when(~is_object, F.array(F.concat(prefix, F.lit("expected JSON object")))).otherwise(known)
-    doc_id = _typed("doc_id")[2]
-    return rows.select(*records.columns, errors.alias("errors"), F.when(strip(doc_id) != "", doc_id).alias("doc_id"))
+    return rows.select(*records.columns, errors.alias("errors"), F.when(~_blank(doc_id), doc_id).alias("doc_id"))
 
 
 def duplicate_ids(checked: DataFrame) -> DataFrame:
@@ -78,12 +75,12 @@ def file_reports(lines: DataFrame, registry: DataFrame, quality: bool = False, s
     errors are counted; the first 50 by line, 50 warnings and 20 duplicate ids are shown, and
     ``more_duplicates`` says how many ids are not.
     """
-    blank = F.coalesce(strip(F.col("line")), F.lit("")) == ""
-    known = lines.join(registry.select("source_id"), "source_id", "left_semi")
-    records = split_records(known, "source_id").withColumnsRenamed({"start_line": "line_no", "record": "line"})
+    registry = stored(registry, "registry")
+    known = stored_lines(lines.join(sized(registry.select("source_id")), "source_id", "left_semi"), "source_id")
+    records = split_stored(known, "source_id").withColumnsRenamed({"start_line": "line_no", "record": "line"})
     least = F.col("min_chars") if quality else F.lit(0)
-    checked = stored(record_errors(records.join(registry.select("source_id", "min_chars"), "source_id"), least).select("source_id", "line_no", "end_line", "errors", "doc_id"), "checked")
-    counts = known.groupBy("source_id").agg(F.count("*").alias("physical_lines"), F.count_if(blank).alias("empty_lines"))
+    checked = stored(record_errors(records.join(sized(registry.select("source_id", "min_chars")), "source_id"), least).select("source_id", "line_no", "end_line", "errors", "doc_id"), "checked")
+    counts = known.groupBy("source_id").agg(F.count("*").alias("physical_lines"), F.count_if(F.col("n") == 0).alias("empty_lines"))
     found = checked.groupBy("source_id").agg(F.count("*").alias("records"), F.count_if(F.col("end_line") > F.col("line_no")).alias("split_records"), F.sum(F.size("errors")).alias("error_count"))
     listed = checked.select("source_id", "line_no", F.explode("errors").alias("error"))
     shown = smallest(listed, "source_id", ["line_no", "error"], "error", SHOWN_ERRORS, "errors")

@@ -115,3 +115,60 @@ def test_smallest_keeps_ties_apart(spark):
     rows = spark.createDataFrame([("g", i % 5, str(i)) for i in range(40)] + [("h", 1, None)], "g string, o int, v string")
     got = {r.g: r.first for r in V.smallest(rows, "g", ["o", "v"], "v", 3, "first").collect()}
     assert got == {"g": ["0", "10", "15"], "h": [None]}
+
+
+def old_lexed(line):
+    """The state's changes taken from the text itself, character by character."""
+    out = {}
+    for e in (0, 1):
+        for inside in (0, 1):
+            quotes = depth = 0
+            open_, skip = bool(inside), bool(e)
+            for c in line:
+                if skip:
+                    skip = False
+                elif c == "\\":
+                    skip = True
+                elif c == '"':
+                    open_, quotes = not open_, quotes + 1
+                elif not open_:
+                    depth += (c in "{[") - (c in "}]")
+            out[f"q{e}"], out[f"d{e}{inside}"] = quotes, depth
+        if not e:
+            out["escapes"] = skip
+    return out
+
+
+def test_lines_states_by_their_marks(spark):
+    rnd = random.Random(8)
+    lines = ["".join(rnd.choices('\\"{}[]a ñ😀', k=rnd.randint(1, 12))) for _ in range(600)]
+    lines = [x for x in lines if set(x) != {"\\"}]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = R.with_lexed(df).collect()
+    assert len(got) == len(lines) and all(r.lexed.asDict() == old_lexed(r.line) for r in got)
+
+
+def test_texts_are_not_sorted_or_shuffled_to_find_records(spark, monkeypatch):
+    """Only the lines' states are dealt by range, and lines of records of their own stay where they are stored."""
+    dealt = []
+    monkeypatch.setattr(R, "ranged", lambda made, *a, _old=R.ranged: dealt.append(made.columns) or _old(made, *a))
+    df = spark.createDataFrame([("x", i, s) for i, s in enumerate(['{"a": 1}', "", '{"d":', "3}"])], "file string, line_no int, line string")
+    out = R.split_records(df)
+    assert dealt and "line" not in dealt[0]
+    assert sorted((r.start_line, r.end_line, r.record) for r in out.collect()) == [(0, 0, '{"a": 1}'), (2, 3, '{"d":3}')]
+
+
+def test_errors_look_each_key_up_once(spark):
+    """Each check used to look its key up anew, and blank texts were stripped as a whole."""
+    texts = [{"text": "  x ", "input": "  x ", "source": "  ", "doc_id": " "}, {"text": "", "input": 1, "source": None, "content": "y", "page": "1"}, {"text": "abc", "input": "abd", "source": "s", "doc_id": "d", "content": None, "page": 2, "url": 3}]
+    df = spark.createDataFrame([("s", i, json.dumps(t)) for i, t in enumerate(texts)] + [("s", 3, "[1]"), ("s", 4, "{")], "source_id string, line_no long, line string")
+    checked = V.record_errors(df, 2)
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("$.text") <= 2
+    got = {r.line_no: ([e.partition(": ")[2] for e in r.errors], r.doc_id) for r in checked.collect()}
+    assert got == {
+        0: (["key 'source' is empty", "key 'doc_id' is empty", "text shorter than min length (1 < 2)"], None),
+        1: (["key 'text' is empty", "key 'input' must be string", "key 'source' must be string", "missing required key 'doc_id'", "key 'page' must be integer when present"], None),
+        2: (["key 'url' must be string when present", "'text' and 'input' must be identical"], "d"),
+        3: (["expected JSON object"], None),
+        4: (["invalid JSON"], None),
+    }
