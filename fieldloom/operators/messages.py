@@ -76,25 +76,25 @@ def commodity_of(c: Column) -> Column:
     return F.when(low.isin(*CROPS["palay"]), "Palay").when(low.isin(*CROPS["corn"]), "Corn").otherwise(F.nullif(F.trim(c), F.lit("")))
 
 
-def _tokens(c: Column) -> Column:
-    """Words, and the characters between them one by one."""
-    return F.regexp_extract_all(c, F.lit(r"(?U)(\w+|\W)"), F.lit(1))
-
-
 def place(text: Column, places: tuple[str, ...] = PLACES) -> Column:
     """First name of the list that stands in the text as whole words.
 
-    A name is a run of tokens. Runs that begin with a name's first word are looked up among the names
-    by equality, in one hash set; texts without any first word go no further."""
+    One pattern looks at each place of the text and finds, of the names that begin there, the first of the list
+    (the list is its order of trying), without moving on, so that names within names are found too."""
     if not places:
         return F.lit(None).cast("string")
-    split = [re.findall(r"\w+|\W", p.lower()) for p in places]
-    names, firsts = F.array(*(F.lit(p.lower()) for p in places)), F.array(*(F.lit(x) for x in sorted({t[0] for t in split})))
-    tokens = _tokens(F.lower(text))
-    at = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_contains(firsts, F.get(tokens, i - 1)))
-    runs = F.flatten(F.transform(at, lambda i: F.array(*(F.array_join(F.slice(tokens, i, n), "") for n in sorted({len(t) for t in split})))))
-    found = F.array_min(F.transform(F.array_intersect(runs, names), lambda x: F.array_position(names, x)))
-    return F.when(F.arrays_overlap(tokens, firsts), F.get(F.array(*(F.lit(p) for p in places)), (found - 1).cast("int")))
+    low = [p.lower() for p in places]
+    by_letter: dict[str, list[str]] = {}  # names that begin with another letter begin elsewhere, so order stays
+    for p in low:
+        rest, word = re.escape(p[1:]), re.escape(p)
+        ends = (rf"(?<!\w{word})" if re.match(r"\w", p) else "") + (r"(?!\w)" if re.search(r"\w$", p) else "")  # looked at in found names only
+        by_letter.setdefault(p[0], []).append(rest + ends)
+    each = [(re.match(r"\w", c), f"{re.escape(c)}(?:{'|'.join(rests)})") for c, rests in by_letter.items()]
+    words, others = "|".join(b for word, b in each if word), "|".join(b for word, b in each if not word)
+    whole = "|".join(x for x in (f"(?<![a-z0-9_])(?:{words})" if words else "", others) if x)  # most places go by a plain class
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"(?U)(?=({whole}))"), F.lit(1))
+    first = F.array_min(F.transform(found, lambda x: F.array_position(F.array(*(F.lit(p) for p in low)), x)))
+    return F.get(F.array(*(F.lit(p) for p in places)), (first - 1).cast("int"))
 
 
 def years(text: Column, today_year: int) -> Column:

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,6 +304,18 @@ def test_places_are_whole_words(spark):
     assert df.select(G.place(F.col("text"), ()).alias("p")).distinct().collect()[0].p is None
 
 
+def test_places_in_long_texts_and_odd_lists(spark):
+    """A text is looked at once: it used to be taken apart anew for each of its words."""
+    text = "word, " * 30_000
+    df = spark.createDataFrame([(text + "sa Samar, Abra.",), (text,), ("#1 new-york new-york-city a.b",), ("x#1 york",), ("\u00f1ew Yorkx",)], "text string")
+    began = time.time()
+    assert [r.p for r in df.select(G.place(F.col("text")).alias("p")).collect()] == ["Abra", None, None, None, None]
+    assert time.time() - began < 60
+    odd = ("A.b", "New-York-City", "new-york", "#1", "York")
+    assert [r.p for r in df.select(G.place(F.col("text"), odd).alias("p")).collect()[2:]] == ["A.b", "#1", None]
+    assert [r.p for r in df.select(G.place(F.col("text"), odd[::-1]).alias("p")).collect()[2:]] == ["York", "York", None]
+
+
 def test_answers_over_ranges_of_years(spark):
     rnd = random.Random(9)
     prices = [(rnd.choice("AB"), rnd.choice(["Palay", "Corn"]), rnd.choice([1999, 2001, 2002, 2010, None]), rnd.choice([None, 1.25, 2.5, 7.75])) for _ in range(200)]
