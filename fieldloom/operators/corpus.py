@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_blank_lines, contains_any, lines, sanitize, strip, url_slug
+from ..functions.text import SPACES, collapse_blank_lines, contains_any, lines, sanitize, strip, url_slug
 
 # What the portal's pages repeat.
 FOOTERS = ("CONTACT US", "PHILRICE TEXT CENTER", "DEPARTMENT OF AGRICULTURE", "Are you satisfied with PINOYRICE KNOWLEDGE BANK?")
@@ -50,20 +49,34 @@ def split_text(text: str | None, size: int) -> list[str]:
     return [*out, held] if held else out
 
 
-def chunks(text: Column, size: int) -> Column:
-    """``array<string>`` of ``split_text``, in Arrow batches."""
+BLANK = SPACES + "\x1c\x1d\x1e\x1f"  # what Python strips
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size))
 
-    return cut(text)
+def chunks(text: Column, size: int) -> Column:
+    """``array<string>`` of ``split_text``, by built-in functions, so that no texts go to Python; ``text`` is a
+    column without ``BLANK`` characters at its ends (null: no chunks)."""
+    none = F.array().cast("array<string>")
+    if size <= 0:
+        return F.when(text != "", F.array(text)).otherwise(none)
+    trimmed = lambda xs: F.filter(F.transform(xs, lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
+    one = lambda c: F.when(c != "", F.array(c)).otherwise(none)
+
+    def add(acc: Column, part: Column) -> Column:
+        together = (acc.held != "") & (F.length(acc.held) + 2 + F.length(part) <= size)
+        cut = trimmed(F.regexp_extract_all(part, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+        out = F.when(together, acc.out).when(F.length(part) <= size, F.concat(acc.out, one(acc.held))).otherwise(F.concat(acc.out, one(acc.held), cut))
+        held = F.when(together, F.concat(acc.held, F.lit("\n\n"), part)).when(F.length(part) <= size, part).otherwise("")
+        return F.struct(out.alias("out"), held.alias("held"))
+
+    start = F.struct(none.alias("out"), F.lit("").alias("held"))
+    packed = F.aggregate(trimmed(F.split(text, "\n\n")), start, add, lambda acc: F.concat(acc.out, one(acc.held)))
+    return F.when(F.length(text) > size, packed).otherwise(F.when(text != "", F.array(text)).otherwise(none))
 
 
 def chunk_records(docs: DataFrame, base_id: Column, size: int, least: int = 100, text_col: str = "text", always_suffix: bool = False) -> DataFrame:
     """One row per chunk: columns of ``docs``, chunk text and ``chunk_doc_id``. Chunks are numbered before
     short ones are dropped; a text of one chunk keeps its plain id (``always_suffix``: unless it was cut)."""
-    cut = docs.withColumn("_base", base_id).withColumn("_chunks", chunks(F.col(text_col), size))
+    cut = docs.withColumns({"_base": base_id, "_whole": F.btrim(F.col(text_col), F.lit(BLANK))}).withColumn("_chunks", chunks(F.col("_whole"), size))
     rows = cut.select(*docs.columns, "_base", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("chunk", "chunk_text"))
     plain = (F.col("_n") == 1) if not always_suffix else (F.length(F.col(text_col)) <= size) | F.lit(size <= 0)
     ident = F.when(plain, F.col("_base")).otherwise(F.concat(F.col("_base"), F.lit("_chunk_"), F.col("chunk").cast("string")))

@@ -162,6 +162,21 @@ def test_chunk_records(spark):
     assert got == [("x", 150), ("y_chunk_0", 200)]
 
 
+def test_chunks_are_cut_without_python(spark):
+    """As ``split_text`` does, by built-in functions: texts used to go to Python workers 10,000 at a time."""
+    rnd = random.Random(11)
+    texts = [None, "", " \n", "x" * 50, "\x1c ab \x1f\n\n\u3000"]
+    texts += ["".join(rnd.choices(["\n\n", "\n", " ", "\x1d", "word", "\u00f1\U0001f600", "a" * 25, "\u00a0"], k=rnd.randint(0, 30))) for _ in range(300)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    for size in (0, 1, 7, 20, 60):
+        cut = C.chunk_records(df, F.col("doc_id"), size, 0)
+        assert "Python" not in cut._jdf.queryExecution().toString()
+        got = {}
+        for r in cut.collect():
+            got.setdefault(int(r.doc_id), {})[r.chunk] = r.chunk_text
+        assert [[x for _, x in sorted(got.get(i, {}).items())] for i in range(len(texts))] == [C.split_text(t, size) for t in texts]
+
+
 def test_noise_and_pages(spark):
     pages = [("d", i, f"Annual Report\n{i}\nbody {i} text") for i in range(10)]
     df = spark.createDataFrame(pages, "doc string, page int, text string")
