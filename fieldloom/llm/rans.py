@@ -156,8 +156,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for data, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            c = np.bincount(_unpack(data, n))
+        for at in range(0, batch.num_rows, 256):  # the counts of a document alone would take the vocabulary's length
+            part = batch.slice(at, 256)
+            c = np.bincount(np.concatenate([_unpack(data, n) for data, n in zip(part.column("ids").to_pylist(), part.column("n").to_pylist(), strict=True)]))
             if len(c) > len(total):
                 total = np.r_[total, np.zeros(len(c) - len(total), np.int64)]
             total[: len(c)] += c

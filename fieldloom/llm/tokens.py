@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +55,16 @@ class WordTable:
         self.index.update(zip(new, range(n, n + len(new)), strict=True))
         self.used, self.flat_used = self.used + cost + 4 * len(ids), m + len(ids)
 
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words, -1 for those that are not known."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+
     def ids_and_ends(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in order, and where each word's ids end."""
-        index = self.index
-        try:
-            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            missing = set(words).difference(index)
+        at = self._numbers(words)
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            missing = {words[i] for i in unknown}
             self._add(missing)
             if len(self.index) == len(missing):  # it was emptied: the known ones are needed again
                 known = set(words).difference(self.index)
@@ -69,7 +72,9 @@ class WordTable:
                     limit, self.LIMIT = self.LIMIT, 1 << 62  # these words are needed together
                     self._add(known)
                     self.LIMIT = limit
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+                at = self._numbers(words)
+            else:
+                at[unknown] = self._numbers([words[i] for i in unknown])
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         if not len(ends) or not ends[-1]:
@@ -113,31 +118,38 @@ class WordBpe(WordTable):
         super().__init__()
 
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words that are one part to the pre-tokenizer are encoded together as one text: each ends
-        with an id that carries the mark of a word's end. All others are encoded one by one."""
-        single = np.fromiter(map(self._is_part, words), bool, len(words))
-        parts = [w for w, one in zip(words, single, strict=True) if one]
+        """Words that are one part to the pre-tokenizer and of printable ASCII, which its byte level leaves as
+        it is, go to the library's model at once. Other words of one part are encoded together as one text: each
+        ends with an id that carries the mark of a word's end. All others are encoded one by one."""
+        kinds = np.fromiter(map(self._kind, words), np.int8, len(words))
+        plain, parts, rest = ([w for w, k in zip(words, kinds.tolist(), strict=True) if k == kind] for kind in range(3))
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(parts), 2000):
-            some = parts[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        if plain:
+            tokenize = self.tokenizer.model.tokenize
+            found.append(together([[t.id for t in tokenize(w)] for w in plain]))
+        for at in range(0, len(parts), 200):
+            some = parts[at : at + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
                 found.append(self._one_by_one(some))
             else:
                 found.append((ids, np.diff(ends, prepend=0)))
-        if len(parts) < len(words):
-            found.append(self._one_by_one([w for w, one in zip(words, single, strict=True) if not one]))
+        if rest:
+            found.append(self._one_by_one(rest))
         flat, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
-        if len(parts) in (0, len(words)):
+        if len(words) in (len(plain), len(parts), len(rest)):
             return flat, sizes
-        order = np.argsort(np.r_[np.flatnonzero(single), np.flatnonzero(~single)])
+        order = np.argsort(np.argsort(kinds, kind="stable"))
         starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
         ends = np.cumsum(sizes)
         return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(len(flat))], sizes
 
-    def _is_part(self, word: str) -> bool:
-        return PARTS.fullmatch(word) is not None and word == word.lower() and not OTHER.search(word)
+    def _kind(self, word: str) -> int:
+        """0: one part, of printable ASCII; 1: one part; 2: any other word."""
+        if PARTS.fullmatch(word) is None or word != word.lower() or OTHER.search(word):
+            return 2
+        return 0 if word.isascii() and word.isprintable() else 1
 
     def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return together([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from fieldloom.llm import rans
-from fieldloom.llm.tokens import encode_all, public_path, word_bpe
+from fieldloom.llm.tokens import WordBpe, encode_all, public_path, word_bpe
 
 
 def texts():
@@ -25,6 +25,25 @@ def test_words_are_the_librarys(spark):
     assert len(encode_all(word_bpe(None), [None])[0]) == 0
 
 
+def test_new_words_go_to_the_model_and_known_ones_stay(spark):
+    """Words of printable ASCII are not encoded as texts, and only new words are looked up again."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+    table = WordBpe(public_path("word_bpe_49k.json"))
+    words = ["rice", "\u00f1and\u00fa", "caf\u00e9", "zqxj", "!!!", "a\x01b", "Upper", "rice,", "7", "\x7f", "caf\u00e9"]
+    assert [table._kind(w) for w in words[:9]] == [0, 1, 1, 0, 0, 2, 2, 2, 0]
+    texts = []
+    table.tokenizer = type("Counted", (), {"model": t.model, "encode_batch_fast": lambda self, x, **k: texts.append(x) or t.encode_batch_fast(x, **k)})()
+    for limit in (table.LIMIT, 400):  # the second empties the table again and again
+        table.LIMIT = limit
+        for some in (words[:4], words, words[::-1], ["rice"], ["new", "rice"], words):
+            ids, ends = table.ids_and_ends(some)
+            want = [t.encode(w, add_special_tokens=False).ids for w in some]
+            assert ids.tolist() == [i for x in want for i in x] and np.diff(ends, prepend=0).tolist() == [len(x) for x in want]
+    assert texts and not any("rice" in x.split() for batch in texts for x in batch)
+
+
 @pytest.mark.parametrize("n", [1, 7, 64, 1000, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
