@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from .gsaca import suffix_array
 from .neardup import _groups
-from .shared import materialize, partitions, spare
+from .shared import discard, materialize, partitions, spare
 from .textkit import U64, mix, utf8
 
 GRAM = 64  #: bytes of an anchor
 SEGMENT = 1 << 20  #: bytes looked at in one go; positions fit in 20 bits
 CLASS = 4000  #: windows of one anchor in one suffix array
 BATCH = 60_000  #: tokens of many small classes in one suffix array
+WORDS = 8  #: words of an anchor of a stretch of words
+WORD = re.compile(rb"[^\x09-\x0d ]+")
 TOKEN = re.compile(rb"[^\x09-\x0d ]*[\x09-\x0d ]|[^\x09-\x0d ]+")
 WINDOWS = "ah long, ch long, n long, k1 long, k2 long, pos long, left int, bytes binary"
 SPANS = "ah long, ch long, spans array<struct<s:int,e:int>>"
@@ -57,21 +59,62 @@ class Anchors:
             h = mix((sums[GRAM:] - sums[:-GRAM]) * self.down[: len(part) - GRAM + 1])
             low = U64(SEGMENT - 1)
             best = (h & ~low) | np.arange(len(h), dtype=U64)
-            step = 1
-            while step * 2 <= self.window:
-                best = np.minimum(best[:-step], best[step:])
-                step *= 2
-            if step < self.window:
-                best = np.minimum(best[: len(best) - (self.window - step)], best[self.window - step :])
-            of = (best & low).astype(np.int64)
+            of = (_least(best, self.window) & low).astype(np.int64)
             first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             last = np.r_[first[1:], len(of)] - 1
             at = of[first]
             found.append((at + start, h[at], first + start, last + start))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
 
+    def of_words(self, text: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for stretches of ``words`` whole words that take less than ``length`` bytes: of each run
+        of them with one anchor, the first of smallest hash of their grams of words, where it begins and ends, and
+        that hash. A run holds just these stretches, so its bytes tell them."""
+        first, last = _words(text)
+        n = len(first) - words + 1
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U64))]
+        low, at = U64(SEGMENT - 1), 0
+        while at < n:
+            base = first[at]
+            to = max(at + 1, int(np.searchsorted(first[:n], base + SEGMENT - self.length)))
+            s, e = first[at:to], last[at + words - 1 : to + words - 1]
+            short = np.flatnonzero(e - s < self.length)
+            if len(short):
+                part = text[base : base + SEGMENT]
+                sums = np.zeros(len(part) + 1, U64)
+                np.cumsum(self.table[part] * self.up[: len(part)], out=sums[1:])
+                # Grams that end beyond the part are in none of the short stretches.
+                begin = np.minimum(first[at : to + words - WORDS] - base, len(part))
+                end = np.minimum(last[at + WORDS - 1 : to + words - 1] - base, len(part))
+                h = mix((sums[end] - sums[begin]) * self.down[begin])
+                best = (h & ~low) | np.arange(len(h), dtype=U64)
+                of = (_least(best, words - WORDS + 1) & low).astype(np.int64)[short]
+                new = np.r_[True, (short[1:] != short[:-1] + 1) | (of[1:] != of[:-1])]
+                found.append((s[short[new]], e[short[np.r_[new[1:], True]]], h[of[new]]))
+            at = to
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _least(best: np.ndarray, window: int) -> np.ndarray:
+    """The smallest of each ``window`` values in a row."""
+    step = 1
+    while step * 2 <= window:
+        best = np.minimum(best[:-step], best[step:])
+        step *= 2
+    return np.minimum(best[: len(best) - (window - step)], best[window - step :]) if step < window else best
+
+
+def _words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    gap = np.r_[True, space[text], True]
+    return np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+
+
+def _anchor_rows(length: int, words: int = 0):
+    """Texts -> a row for each anchor. With ``words``, the last bit of an anchor's hash tells those of words."""
 
-def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
         for batch in batches:
@@ -79,9 +122,13 @@ def _anchor_rows(length: int):
             for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), strict=True):
                 b = utf8(text.as_py())
                 at, h, first, last = anchors.of(np.frombuffer(b, np.uint8))
+                left, end = at - first, last + length
+                if words:
+                    begin, until, by_words = anchors.of_words(np.frombuffer(b, np.uint8), words)
+                    at, first, end = np.r_[at, begin], np.r_[first, begin], np.r_[end, until]
+                    left, h = np.r_[left, np.zeros_like(begin)], np.r_[h & ~U64(1), by_words | U64(1)]
                 if not len(at):
                     continue
-                left, end = at - first, last + length
                 ch = [xxhash.xxh3_64_intdigest(b[s:e], x) for s, e, x in zip(first.tolist(), end.tolist(), left.tolist(), strict=True)]
                 held.append((h.view(np.int64), np.array(ch, U64).view(np.int64), np.full(len(at), k1), np.full(len(at), k2), at, left.astype(np.int32), (end - first).astype(np.int32)))
                 count += len(at)
@@ -102,15 +149,12 @@ def _word_windows(words: int, below: int):
     """Texts -> a hash of each stretch of ``words`` whole words that takes less than ``below`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = np.zeros(256, bool)
-        space[[9, 10, 11, 12, 13, 32]] = True
         names = ["h1", "h2", "k1", "k2", "pos", "size"]
         for batch in batches:
             held, count = [], 0
             for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), strict=True):
                 b = utf8(text.as_py())
-                gap = np.r_[True, space[np.frombuffer(b, np.uint8)], True]
-                first, last = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+                first, last = _words(np.frombuffer(b, np.uint8))
                 if len(first) < words:
                     continue
                 s, e = first[: len(first) - words + 1], last[words - 1 :]
@@ -271,7 +315,38 @@ def _shared(rows: list[dict], length: int, parts: int = 4) -> list[dict]:
     return out
 
 
-def _search(length: int):
+def _stretches(b: bytes, words: int) -> list[tuple[bytes, int, int]]:
+    """Hash, first and last of each stretch of ``words`` words."""
+    at = [m.span() for m in WORD.finditer(b)]
+    return [(xxhash.xxh3_128_digest(b[s:e]), s, e) for (s, _), (_, e) in zip(at, at[words - 1 :], strict=False)]
+
+
+def _shared_words(rows: list[dict], words: int) -> Iterator[tuple[int, int, list[dict]]]:
+    """Of a class of windows of words: those that stand once, and what else stands in the class of them."""
+    own = [_stretches(r["bytes"], words) for r in rows]
+    counts: dict[bytes, int] = {}
+    for r, mine in zip(rows, own, strict=True):
+        for h, _, _ in mine:
+            counts[h] = counts.get(h, 0) + r["n"]
+    for r, mine in zip(rows, own, strict=True):
+        spans = [{"s": s, "e": e} for h, s, e in mine if counts[h] > 1]
+        if r["n"] == 1 and spans:
+            yield r["ah"], r["ch"], spans
+
+
+def _hash_stretches(words: int):
+    """Windows of words -> a row for each of their stretches; there are less than ``words`` a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), r["ah"], r["ch"], r["n"], s, e) for r in batch.to_pylist() for h, s, e in _stretches(r["bytes"], words)]
+            types = [pa.int64()] * 5 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], ["h1", "h2", "ah", "ch", "n", "s", "e"])
+
+    return run
+
+
+def _search(length: int, words: int = 0):
     """Windows sorted by anchor -> for those that stand once, what their class repeats of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,9 +362,15 @@ def _search(length: int):
                 ["ah", "ch", "spans"],
             )
 
-        held, tokens = [], 0
+        held, tokens, of_words = [], 0, []
         for group in _groups(batches, ["ah"]):
             rows = list({r["ch"]: r for r in group.to_pylist()}.values())
+            if words and rows[0]["ah"] & 1:
+                of_words += _shared_words(rows, words)
+                if len(of_words) > 5000:
+                    yield _span_batch(of_words)
+                    of_words = []
+                continue
             rows = _shared(rows, length) if len(rows) > 1 else []
             if len(rows) < 2:
                 continue
@@ -300,10 +381,17 @@ def _search(length: int):
                 held, tokens = [], 0
         if held:
             yield solve(held)
+        if of_words:
+            yield _span_batch(of_words)
 
     return run
 
 
+def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
+    ah, ch, spans = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ah, pa.int64()), pa.array(ch, pa.int64()), pa.array(spans, SPAN_TYPE)], ["ah", "ch", "spans"])
+
+
 def _narrowed(length: int, parts: int):
     """Windows of a class that is too large -> windows for ``parts`` ranges of starts each. All strings
     that start in a range share a core, which is the new anchor."""
@@ -326,14 +414,16 @@ def _narrowed(length: int, parts: int):
     return run
 
 
-def _resolve(windows: DataFrame, classes: DataFrame, length: int, level: int) -> DataFrame:
+def _resolve(windows: DataFrame, classes: DataFrame, length: int, level: int, made: list[DataFrame], words: int = 0) -> DataFrame:
     """Windows (one for each anchor and content) -> spans relative to the anchor, for those with n = 1.
 
-    ``classes(ah, m)``: the number of windows of each anchor."""
-    search = lambda df: df.repartition(partitions(df), "ah").sortWithinPartitions("ah").mapInArrow(_search(length), SPANS)
+    ``classes(ah, m)``: the number of windows of each anchor. Stretches of ``words`` words are few in a window; in a
+    class that is too large, they are brought together one by one. ``made`` takes the tables that are stored."""
+    search = lambda df: df.repartition(partitions(df), "ah").sortWithinPartitions("ah").mapInArrow(_search(length, words), SPANS)
     if level == len(PARTS):
         return search(windows)
     windows = materialize(windows, "windows")  # at every size, so that the search can be repeated alone
+    made.append(windows)
     hot = materialize(classes.filter(F.col("m") > CLASS).select("ah"), "hot")
     n_hot = hot.count()
     if not n_hot:
@@ -341,12 +431,21 @@ def _resolve(windows: DataFrame, classes: DataFrame, length: int, level: int) ->
     key = F.broadcast(hot) if n_hot <= 100_000 else hot
     cold = search(windows.join(key, "ah", "left_anti"))
     schema = WINDOWS + ", of_ah long, of_ch long, shift int"
-    parts = materialize(windows.join(key, "ah", "left_semi").mapInArrow(_narrowed(length, PARTS[level]), schema), "parts")
+    large = windows.join(key, "ah", "left_semi")
+    if words:
+        by_words = F.col("ah").bitwiseAND(F.lit(1)) == 1
+        each = large.filter(by_words).mapInArrow(_hash_stretches(words), "h1 long, h2 long, ah long, ch long, n long, s int, e int")
+        each, large = materialize(each, "stretches"), large.filter(~by_words)
+        made.append(each)
+        twice = each.groupBy("h1", "h2").agg(F.sum("n").alias("m")).filter("m > 1").hint("merge")
+        cold = cold.unionByName(each.filter("n = 1").join(twice, ["h1", "h2"], "left_semi").groupBy("ah", "ch").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    parts = materialize(large.mapInArrow(_narrowed(length, PARTS[level]), schema), "parts")
     one = parts.groupBy("ah", "ch").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "pos", "left", "bytes")).alias("r"))
     one = materialize(one.select("ah", "ch", "n", "r.*"), "parts")
+    made += [hot, parts, one]
     whole = one.filter("n > 1").select("ah", "ch", F.array(F.struct((-F.col("left")).alias("s"), (F.length("bytes") - F.col("left")).cast("int").alias("e"))).alias("spans"))
     several = one.groupBy("ah").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("ah", "m")
-    spans = whole.unionByName(_resolve(one.join(several, "ah", "left_semi"), several, length, level + 1))
+    spans = whole.unionByName(_resolve(one.join(several, "ah", "left_semi"), several, length, level + 1, made))
     back = parts.select("ah", "ch", "of_ah", "of_ch", "shift").join(spans, ["ah", "ch"])
     back = back.select(F.col("of_ah").alias("ah"), F.col("of_ch").alias("ch"), F.transform("spans", lambda x: F.struct((x.s + F.col("shift")).alias("s"), (x.e + F.col("shift")).alias("e"))).alias("spans"))
     back = back.groupBy("ah", "ch").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most one a start
@@ -357,22 +456,33 @@ def _resolve(windows: DataFrame, classes: DataFrame, length: int, level: int) ->
 PARTS = (8, 400)  #: how finely classes that are too large are narrowed, at first and then
 
 
+def _runs(rows: int, owner: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.ListArray:
+    """Spans of ``rows`` texts, joined where they overlap or touch."""
+    begin, end = owner * (1 << 40) + s, owner * (1 << 40) + e  # the spans of a text lie before those of the next
+    by = np.argsort(begin, kind="stable")
+    begin, end = begin[by], np.maximum.accumulate(end[by])
+    heads = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]]) if len(begin) else np.empty(0, np.int64)
+    first, last = begin[heads], end[np.r_[heads[1:], len(begin)] - 1] if len(heads) else heads
+    counts = np.bincount(first >> 40, minlength=rows)
+    low = (1 << 40) - 1
+    spans = pa.StructArray.from_arrays([pa.array((first & low).astype(np.int32)), pa.array((last & low).astype(np.int32))], fields=list(SPAN_TYPE.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), spans)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of texts -> their maximal runs, without those of words and with them."""
     for batch in batches:
-        out = []
-        for pieces in batch.column("pieces").to_pylist():
-            pairs = sorted((p["pos"] + x["s"], p["pos"] + x["e"]) for p in pieces for x in p["spans"])
-            merged: list[list[int]] = []
-            for a, b in pairs:
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            out.append([{"s": a, "e": b} for a, b in merged])
-        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(out, SPAN_TYPE)], ["k1", "k2", "spans"])
-
-
-def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", name: str = "repeats", words: int = 0) -> DataFrame:
+        pos, spans, w = batch.column("pieces").flatten().flatten()
+        s, e = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spans.flatten().flatten())
+        of = np.repeat(np.arange(len(pos)), spans.value_lengths().to_numpy(zero_copy_only=False))
+        owner = np.repeat(np.arange(batch.num_rows), batch.column("pieces").value_lengths().to_numpy(zero_copy_only=False))[of]
+        at, other = pos.to_numpy(zero_copy_only=False)[of], ~w.to_numpy(zero_copy_only=False)[of]
+        all_of = _runs(batch.num_rows, owner, at + s, at + e)
+        some = all_of if other.all() else _runs(batch.num_rows, owner[other], (at + s)[other], (at + e)[other])
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), some, all_of], ["k1", "k2", "spans", "passages"])
+
+
+def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", name: str = "repeats", words: int = 0, apart: str = "") -> DataFrame:
     """``docs`` with ``repeats`` (or another ``name``), an array of (s, e): the maximal runs of UTF-8 bytes covered by strings
     of ``length`` bytes that also start anywhere else, in this document or another. Strings never
     cross documents, and are judged on the input.
@@ -385,6 +495,8 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
 
     With ``words``, stretches of that many whole words that start elsewhere too count as well, though
     they take less than ``length`` bytes; where words are that short, each stretch has a hash of its own.
+    With ``apart`` as well, they are left out of ``name``, and a further column of that name has the runs of both.
+    These are found by anchors of their own, grams of words, which costs little where most words are short.
 
     Null or short text: no repeats. Repeated rows are repeats of each other. An empty table gives an
     empty result. All columns of ``docs`` stay, but one that is called ``name``, in any case, is replaced.
@@ -395,8 +507,12 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     keyed = docs.select(whole, F.coalesce(ident, F.lit(-(2**63))).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
+    if apart and (words <= WORDS or apart.lower() == name.lower()):
+        raise ValueError(f"apart takes stretches of more than {WORDS} words and a name of its own")
+    anchored = words if apart else 0
     short = keyed.select("k1", "k2", "text")
-    rows = short.filter(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "ah long, ch long, k1 long, k2 long, pos long, left int, size int")
+    least = min(length, 2 * anchored - 1) if anchored else length
+    rows = short.filter(F.octet_length("text") >= least).mapInArrow(_anchor_rows(length, anchored), "ah long, ch long, k1 long, k2 long, pos long, left int, size int")
     rows = materialize(rows, "anchors")
     # Counts per anchor and content come first, so that an anchor that stands very often is one row a
     # content in the joins that follow; all of these tables grow with the input.
@@ -410,9 +526,12 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     # Of rows with equal id and text, one gives the windows; they lie side by side after the join.
     with_text = short.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     windows = with_text.mapInArrow(_cut_windows(), WINDOWS)
-    spans = whole.unionByName(_resolve(windows, several, length, 0))
-    found = rows.join(spans.hint("merge"), ["ah", "ch"]).select("k1", "k2", "pos", "spans")
-    if words:
+    made = [one, several]
+    spans = materialize(whole.unionByName(_resolve(windows, several, length, 0, made, anchored)), "spans")
+    discard(*made)
+    of_words = F.col("ah").bitwiseAND(F.lit(1)) == 1 if anchored else F.lit(False)
+    found = rows.join(spans.hint("merge"), ["ah", "ch"]).select("k1", "k2", "pos", "spans", of_words.alias("w"))
+    if words and not apart:
         dense = materialize(short.mapInArrow(_word_windows(words, length), "h1 long, h2 long, k1 long, k2 long, pos long, size int"), "stretches")
         twice = dense.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
         again = dense.join(twice.hint("merge"), ["h1", "h2"], "left_semi").select("k1", "k2", "pos", (F.col("pos") + F.col("size")).alias("end"))
@@ -421,12 +540,13 @@ def find_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         again = again.withColumn("before", F.max("end").over(of.rowsBetween(Window.unboundedPreceding, -1)))
         again = again.withColumn("island", F.count_if(F.col("before").isNull() | (F.col("pos") > F.col("before"))).over(of))
         again = again.groupBy("k1", "k2", "island").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
-        found = found.unionByName(again.select("k1", "k2", "pos", F.array(F.struct(F.lit(0).alias("s"), (F.col("end") - F.col("pos")).cast("int").alias("e"))).alias("spans")))
-    pieces = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "spans")).alias("pieces"))
-    merged = pieces.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<s:int,e:int>>")
+        found = found.unionByName(again.select("k1", "k2", "pos", F.array(F.struct(F.lit(0).alias("s"), (F.col("end") - F.col("pos")).cast("int").alias("e"))).alias("spans"), F.lit(False).alias("w")))
+    pieces = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "spans", "w")).alias("pieces"))
+    merged = pieces.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<s:int,e:int>>, passages array<struct<s:int,e:int>>")
     out = keyed.select("row", "k1", "k2").join(merged.hint("merge"), ["k1", "k2"], "left")
     empty = F.array().cast("array<struct<s:int,e:int>>")
-    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() != name.lower()), F.coalesce("spans", empty).alias(name))
+    more = [F.coalesce("passages", empty).alias(apart)] if apart else []
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in (name.lower(), apart.lower())), F.coalesce("spans", empty).alias(name), *more)
 
 
 def kept_bytes(text: str | None, repeats: list) -> bytes:
