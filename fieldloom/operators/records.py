@@ -14,9 +14,16 @@ from ..functions.text import strip
 from .durable import discard, joined_to_parts, ranged, sized, starts_of, stored
 
 LONGEST = 64 << 20  #: bytes of the lines that are put together to one record
+STRING = 20_000_000  #: characters of one string that Spark's JSON functions take unless told otherwise
 MARKED = 1_000_000  #: lines of split records, two numbers each, that may go to all tasks
 
 
+def parsed(c: Column) -> Column:
+    """JSON as a variant, or null if it is none; also with longer strings than ``STRING``."""
+    options = {"maxStringLen": str((1 << 31) - 1), "allowSingleQuotes": "false"}
+    return F.coalesce(F.try_parse_json(c), F.when(F.octet_length(c) > STRING, F.from_json(c, "variant", options)))
+
+
 def _count(c: Column, characters: str) -> Column:
     return F.length(c) - F.length(F.translate(c, characters, ""))
 
@@ -122,5 +129,5 @@ def split_stored(made: DataFrame, file: str = "file", longest: int = LONGEST) ->
     groups = groups.agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")).withColumn("joined", F.array_join(F.transform("l", lambda x: x.line), ""))
     whole = F.array(F.struct(F.element_at("l", 1).line_no.alias("start_line"), F.element_at("l", -1).line_no.alias("end_line"), F.col("joined").alias("record")))
     each = F.transform("l", lambda x: F.struct(x.line_no.alias("start_line"), x.line_no.alias("end_line"), x.line.alias("record")))
-    found = groups.select(file, F.inline(F.when(F.try_parse_json("joined").isNotNull(), whole).otherwise(each)))
+    found = groups.select(file, F.inline(F.when(parsed(F.col("joined")).isNotNull(), whole).otherwise(each)))
     return alone(single).unionByName(found)

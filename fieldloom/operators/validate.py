@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, strip
 from .durable import sized, stored
-from .records import split_stored, stored_lines
+from .records import parsed, split_stored, stored_lines
 
 REQUIRED = ("text", "input", "source", "doc_id")
 OPTIONAL_STRINGS = ("content", "url", "title", "filename")
@@ -24,7 +24,7 @@ def record_errors(records: DataFrame, min_chars: Column | int = 0) -> DataFrame:
     Types are read from the JSON, never coerced: a number for a string is an error. Each key is looked up
     once: its type (``_t_``, null: absent) and, if it is one, its string (``_s_``) are columns."""
     strings = (*REQUIRED, *OPTIONAL_STRINGS)
-    rows = records.withColumn("v", F.try_parse_json("line"))
+    rows = records.withColumn("v", parsed(F.col("line")))
     rows = rows.withColumns({"_kind": F.schema_of_variant("v"), **{f"_t_{k}": F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")) for k in (*strings, "page")}})
     rows = rows.withColumns({f"_s_{k}": F.when(F.col(f"_t_{k}") == "STRING", F.try_variant_get("v", f"$.{k}", "string")) for k in strings})
     text, given, content, doc_id = (F.col(f"_s_{k}") for k in ("text", "input", "content", "doc_id"))

@@ -172,3 +172,15 @@ def test_errors_look_each_key_up_once(spark):
         3: (["expected JSON object"], None),
         4: (["invalid JSON"], None),
     }
+
+
+def test_records_with_long_strings(spark):
+    n = 20_000_000  # what Spark's JSON functions take by themselves
+    text = F.repeat(F.lit("x"), F.lit(n + 1))
+    good = F.concat(F.lit('{"text":"'), text, F.lit('","source":"s","doc_id":"a","input":"'), text, F.lit('"}'))
+    bad = F.concat(F.lit("{'text':'"), text, F.lit("'}"))
+    lines = spark.range(3).select(F.lit("s").alias("source_id"), F.col("id").alias("line_no"), F.when(F.col("id") == 0, good).when(F.col("id") == 1, bad).otherwise(F.substring(good, 1, n + 99)).alias("line"))
+    got = {r.line_no: (r.errors, r.doc_id) for r in V.record_errors(lines, 100).collect()}
+    assert got == {0: ([], "a"), 1: (["Line 1: invalid JSON"], None), 2: (["Line 2: invalid JSON"], None)}
+    halves = lines.filter("line_no = 0").select(F.col("source_id").alias("file"), F.posexplode(F.array(F.substring("line", 1, n), F.substring("line", n + 1, 1 << 30))).alias("line_no", "line"))
+    assert [(r.start_line, r.end_line) for r in R.split_records(halves).select("start_line", "end_line").collect()] == [(0, 1)]
